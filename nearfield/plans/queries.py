@@ -1,8 +1,443 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the test tables, and DuckDB SQL that gives the same rows.
+
+Searches take as queries every row whose ``vec_id`` is divisible by 50, against all rows. Metric queries
+use vectors scaled by ``1 + vec_id % 3``, so that no two metrics rank alike.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import filters as f
+from nearfield.functions.distances import METRICS, cosine_similarity, distance
+from nearfield.operators import kmeans
+from nearfield.operators.brute import BruteForceIndex
+from nearfield.operators.hnsw import HnswIndex
+from nearfield.operators.ivf import IvfIndex
+from nearfield.operators.ivfpq import IvfPqIndex
+from nearfield.operators.metadata import MetadataStore, from_json
+from nearfield.operators.pq import CompressedVectors
+from nearfield.operators.topk import knn, recall
+from nearfield.sources import snapshot
+from nearfield.sources.oplog import state
+
+K, EVERY, CELLS, PARTS = 10, 50, 8, 8
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factor = (1 + F.col("id") % 3).cast("double")
+    return vectors(spark, sf_dir).select("id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * factor).alias("embedding"))
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "embedding")
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("distance", 6).alias("distance"))
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-")
+    return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
+
+
+# --- SQL pieces ------------------------------------------------------------
+
+SCALED = "e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 3)) AS v FROM embeddings)"
+PLAIN = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _sum(a: str, b: str, term: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: {term}))"
+
+
+def _sql_distance(metric: str, a: str, b: str) -> str:
+    sq, dot = "(p[1] - p[2]) * (p[1] - p[2])", "p[1] * p[2]"
+    if metric == "euclidean":
+        return f"sqrt({_sum(a, b, sq)})"
+    if metric == "euclidean_squared":
+        return _sum(a, b, sq)
+    if metric == "dot":
+        return f"-{_sum(a, b, dot)}"
+    if metric == "manhattan":
+        return _sum(a, b, "abs(p[1] - p[2])")
+    return f"1 - {_sum(a, b, dot)} / sqrt({_sum(a, a, dot)} * {_sum(b, b, dot)})"
+
+
+def _sql_knn(metric: str, source: str = SCALED, k: str = str(K), where: str = "true", per_query: str = "true") -> str:
+    return (
+        f"WITH {source}, d AS (SELECT q.id AS qid, e.id AS id, {_sql_distance(metric, 'e.v', 'q.v')} AS distance FROM e, e AS q WHERE q.id % {EVERY} = 0 AND {where}), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM d WHERE {per_query}) SELECT qid, rank, id, round(distance, 6) AS distance FROM r WHERE rank <= {k}"
+    )
+
+
+def _sql_cells(where: str = "true") -> str:
+    """Centres after one round from the first rows: ``c(cell, v)`` and assignments ``own(id, v, cell)`` of rows ``e``."""
+    sq = _sum("e.v", "s.v", "(p[1] - p[2]) * (p[1] - p[2])")
+    sq2 = _sum("e.v", "c.v", "(p[1] - p[2]) * (p[1] - p[2])")
+    return (
+        f"{PLAIN}, t AS (SELECT * FROM e WHERE {where}), s AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cell, v FROM t QUALIFY row_number() OVER (ORDER BY id) <= {CELLS}), "
+        f"o AS (SELECT e.id, e.v, arg_min(s.cell, ({sq}, s.cell)) AS cell FROM t AS e, s GROUP BY e.id, e.v), "
+        "x AS (SELECT cell, i, avg(v[i]) AS m FROM o, range(1, 65) AS g(i) GROUP BY cell, i), "
+        "n AS (SELECT cell, list(m ORDER BY i) AS v FROM x GROUP BY cell), c AS (SELECT s.cell, coalesce(n.v, s.v) AS v FROM s LEFT JOIN n USING (cell)), "
+        f"own AS (SELECT e.id, e.v, arg_min(c.cell, ({sq2}, c.cell)) AS cell FROM e, c GROUP BY e.id, e.v)"
+    )
+
+
+def _sql_probes(n: int) -> str:
+    sq = _sum("q.v", "c.v", "(p[1] - p[2]) * (p[1] - p[2])")
+    return f"p AS (SELECT q.id AS qid, q.v AS q, c.cell, c.v AS centre FROM e AS q, c WHERE q.id % {EVERY} = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY {sq}, c.cell) <= {n})"
+
+
+def _minus(a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda p: p[1] - p[2])"
+
+
+def _sql_books(rows: str) -> str:
+    """The first 16 rows of ``rows(id, v)`` as codes of each part: ``b(m, code, sub)``."""
+    w = 64 // PARTS
+    return f"b AS (SELECT m, (row_number() OVER (PARTITION BY m ORDER BY id) - 1)::INT AS code, v[m * {w} + 1 : m * {w} + {w}] AS sub FROM {rows}, range({PARTS}) AS g(m) QUALIFY row_number() OVER (PARTITION BY m ORDER BY id) <= 16)"
+
+
+def _sql_codes(rows: str) -> str:
+    w = 64 // PARTS
+    sq = _sum(f"r.v[r.m * {w} + 1 : r.m * {w} + {w}]", "b.sub", "(p[1] - p[2]) * (p[1] - p[2])")
+    return f"k AS (SELECT r.id, r.m, arg_min(b.code, ({sq}, b.code)) AS code FROM (SELECT * FROM {rows}, range({PARTS}) AS g(m)) AS r JOIN b ON b.m = r.m GROUP BY r.id, r.m)"
+
+
+def _sql_ivfpq(fetch: int, train: str = "true", keep: str = "true", live: str = "true", nprobe: int = 2) -> str:
+    """Approximate distances ``a(qid, id, distance)``, the best ``fetch`` of each query."""
+    w = 64 // PARTS
+    sq = _sum(f"(u.rest)[b.m * {w} + 1 : b.m * {w} + {w}]", "b.sub", "(p[1] - p[2]) * (p[1] - p[2])")
+    return (
+        f"WITH {_sql_cells(train)}, res AS (SELECT own.id, own.cell, {_minus('own.v', 'c.v')} AS v FROM own JOIN c USING (cell)), "
+        f"tr AS (SELECT id, v FROM res JOIN t USING (id) WHERE true), trr AS (SELECT res.id, res.v FROM res WHERE res.id IN (SELECT id FROM t)), {_sql_books('trr')}, {_sql_codes('res')}, {_sql_probes(nprobe)}, "
+        f"u AS (SELECT qid, cell, {_minus('q', 'centre')} AS rest FROM p), lut AS (SELECT u.qid, u.cell, b.m, b.code, {sq} AS d FROM u, b), "
+        f"hit AS (SELECT p.qid, res.id FROM p JOIN res USING (cell) JOIN embeddings AS meta ON meta.vec_id = res.id WHERE {keep} AND {live}), "
+        "a0 AS (SELECT h.qid, h.id, sqrt(sum(l.d)) AS distance FROM hit AS h JOIN res USING (id) JOIN k USING (id) JOIN lut AS l ON l.qid = h.qid AND l.cell = res.cell AND l.m = k.m AND l.code = k.code GROUP BY h.qid, h.id), "
+        f"a AS (SELECT * FROM a0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) <= {fetch})"
+    ).replace("tr AS (SELECT id, v FROM res JOIN t USING (id) WHERE true), ", "")
+
+
+def _sql_top(distance: str = "distance", source: str = "a") -> str:
+    return f" SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round({distance}, 9), id) AS rank, id, round({distance}, 6) AS distance FROM {source} QUALIFY rank <= {K}"
+
+
+def _sql_reranked() -> str:
+    exact = _sql_distance("euclidean", "e.v", "q.v")
+    return f", z AS (SELECT a.qid, a.id, {exact} AS distance FROM a JOIN e USING (id) JOIN e AS q ON q.id = a.qid)" + _sql_top("distance", "z")
+
+
+# --- exact search ----------------------------------------------------------
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def _metric_query(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = scaled(spark, sf_dir)
+        return shown(knn(rows, asked(rows), K, metric))
+
+    return run
+
+
+for _name, _metric in (("knn_l2", "euclidean"), ("knn_l2sq", "euclidean_squared"), ("knn_cosine", "cosine"), ("knn_dot", "dot"), ("knn_l1", "manhattan")):
+    query(_name, _sql_knn(_metric))(_metric_query(_metric))
+
+
+@query("knn_single", f"WITH {PLAIN}, q AS (SELECT v FROM e ORDER BY id LIMIT 1) SELECT row_number() OVER (ORDER BY {_sql_distance('euclidean', 'e.v', 'q.v')}, id) AS rank, id, round({_sql_distance('euclidean', 'e.v', 'q.v')}, 6) AS distance FROM e, q QUALIFY rank <= {K}")
+def knn_single(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    first = rows.orderBy("id").first().embedding
+    return shown(BruteForceIndex(rows).search(list(first), K).withColumn("qid", F.lit(0))).drop("qid")
+
+
+@query("knn_radius", _sql_knn("euclidean", PLAIN, "100000", "true", "distance <= 1.2"))
+def knn_radius(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(knn(rows, asked(rows), 100_000, "euclidean", max_distance=1.2))
+
+
+@query("knn_varying_k", _sql_knn("euclidean", PLAIN, "1 + qid % 7"))
+def knn_varying_k(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(knn(rows, asked(rows).withColumn("k", 1 + F.col("qid") % 7), metric="euclidean", per_query_k=True))
+
+
+@query("knn_after_remove", _sql_knn("euclidean", PLAIN, where="e.id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)"))
+def knn_after_remove(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    gone = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
+    return shown(BruteForceIndex(rows).remove(gone).batch_search(asked(rows), K))
+
+
+@query("knn_filtered", _sql_knn("euclidean", PLAIN, where="e.id IN (SELECT vec_id FROM embeddings WHERE label BETWEEN 2 AND 5)"))
+def knn_filtered(spark, sf_dir):
+    rows, meta = vectors(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    keep = meta.where(f.between("label", 2, 5).compile(f.Typed(meta))).select("id")
+    return shown(knn(rows.join(keep, "id", "left_semi"), asked(rows), K))
+
+
+@query(
+    "pairwise_distances",
+    f"WITH {SCALED} SELECT q.id AS qid, e.id AS id, " + ", ".join(f"round({_sql_distance(m, 'e.v', 'q.v')}, 6) AS {m}" for m in METRICS) + f", round({_sum('e.v', 'q.v', 'p[1] * p[2]')} / sqrt({_sum('e.v', 'e.v', 'p[1] * p[2]')} * {_sum('q.v', 'q.v', 'p[1] * p[2]')}), 6) AS similarity FROM e, e AS q WHERE q.id % {EVERY} = 0",
+)
+def pairwise_distances(spark, sf_dir):
+    rows = scaled(spark, sf_dir)
+    pairs = rows.join(asked(rows).select("qid", F.col("embedding").alias("q")), F.lit(True))  # a stated set of queries against all rows
+    a, b = F.col("embedding"), F.col("q")
+    return pairs.select("qid", "id", *(F.round(distance(m, a, b), 6).alias(m) for m in METRICS), F.round(cosine_similarity(a, b), 6).alias("similarity"))
+
+
+@query("index_size", "SELECT count(*) AS n, max(len(embedding))::INT AS dimension FROM embeddings")
+def index_size(spark, sf_dir):
+    return vectors(spark, sf_dir).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimension"))
+
+
+@query("recall_at_k", f"WITH {PLAIN}, d AS (SELECT q.id AS qid, e.id AS id, {_sql_distance('euclidean', 'e.v', 'q.v')} AS x, {_sql_distance('manhattan', 'e.v', 'q.v')} AS y FROM e, e AS q WHERE q.id % {EVERY} = 0), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY x, id) AS rx, row_number() OVER (PARTITION BY qid ORDER BY y, id) AS ry FROM d) SELECT qid, count(*) FILTER (rx <= {K} AND ry <= {K}) / {K}.0::DOUBLE AS recall FROM r GROUP BY qid")
+def recall_at_k(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return recall(knn(rows, asked(rows), K, "manhattan"), knn(rows, asked(rows), K, "euclidean"), K)
+
+
+# --- metadata ----------------------------------------------------------------
+
+DOCS = "m AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+CONVERSATIONS = "m AS (SELECT conv_id, list(DISTINCT role) AS roles FROM conversations GROUP BY conv_id)"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+def _filter_query(name: str, condition: f.Condition, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = documents(spark, sf_dir)
+        return rows.where(condition.compile(f.Typed(rows))).select("doc_id")
+
+    query(f"filter_{name}", f"WITH {DOCS} SELECT doc_id FROM m WHERE {where}")(run)
+
+
+_filter_query("eq", f.eq("lang", "en"), "lang = 'en'")
+_filter_query("ne", f.ne("toxic", 1), "toxic IS DISTINCT FROM 1")
+_filter_query("gt", f.gt("n_chars", 2000), "n_chars > 2000")
+_filter_query("gte", f.gte("n_chars", 2000.5), "n_chars >= 2000.5")
+_filter_query("lt", f.lt("quality", 1), "quality < 1")
+_filter_query("lte", f.lte("source", "src3"), "source <= 'src3'")
+_filter_query("range", f.between("n_chars", 500, 1500, True, False), "n_chars >= 500 AND n_chars < 1500")
+_filter_query("in", f.is_in("lang", ["fr", "de"]), "lang IN ('fr', 'de')")
+_filter_query("not_in", f.not_in("quality", [1]), "quality IS NULL OR quality <> 1")
+_filter_query("exists", f.exists("quality"), "quality IS NOT NULL")
+_filter_query("is_null", f.is_null("toxic"), "toxic IS NULL")
+_filter_query("starts_with", f.starts_with("source", "src1"), "source LIKE 'src1%'")
+_filter_query("and", f.all_of(f.eq("lang", "en"), f.gt("n_chars", 1000), f.ne("toxic", 1)), "lang = 'en' AND n_chars > 1000 AND toxic IS DISTINCT FROM 1")
+_filter_query("or", f.any_of(f.eq("quality", 0), f.lt("n_chars", 300)), "coalesce(quality = 0, false) OR n_chars < 300")
+_filter_query("not", f.negate(f.gt("quality", 0)), "NOT coalesce(quality > 0, false)")
+_filter_query("typed", f.eq("n_chars", 2000.0), "false")
+
+
+@query("filter_contains", f"WITH {CONVERSATIONS} SELECT conv_id FROM m WHERE list_contains(roles, 'system')")
+def filter_contains(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    return rows.where(f.contains("roles", "system").compile(f.Typed(rows))).select("conv_id")
+
+
+@query("metadata_json", "SELECT event_id AS id FROM events WHERE coalesce((props::JSON->>'k')::BIGINT BETWEEN 10 AND 40, false)")
+def metadata_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("json"))
+    return MetadataStore(from_json(rows)).filter(f.between("k", 10.0, 40))
+
+
+@query("metadata_upsert", "SELECT count(*) FILTER ((CASE WHEN event_id % 3 = 0 THEN 7 ELSE (props::JSON->>'k')::BIGINT END) = 7) AS n FROM events WHERE event_type <> 'error'")
+def metadata_upsert(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    store = MetadataStore(from_json(events.select(F.col("event_id").alias("id"), F.col("props").alias("json"))))
+    value = from_json(events.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.lit('{"k": 7}').alias("json")))
+    store = store.insert(value.select("id", F.lit("k").alias("field"), F.element_at("metadata", "k").alias("value")))
+    store = store.remove(events.where("event_type = 'error'").select(F.col("event_id").alias("id")))
+    return store.filter(f.eq("k", 7)).agg(F.count("*").alias("n"))
+
+
+# --- k-means and inverted files ------------------------------------------------
+
+
+def _centres(spark: SparkSession, sf_dir: str):
+    return kmeans.fit(vectors(spark, sf_dir), CELLS, 1, "first")
+
+
+@query("kmeans_assign", f"WITH {_sql_cells()} SELECT id, cell::INT AS cell FROM own")
+def kmeans_assign(spark, sf_dir):
+    return kmeans.assign(vectors(spark, sf_dir), _centres(spark, sf_dir)).select("id", "cell")
+
+
+@query("kmeans_centroids", f"WITH {_sql_cells()} SELECT cell::INT AS cell, i::INT AS i, round(v[i], 6) AS x FROM c, range(1, 65) AS g(i)")
+def kmeans_centroids(spark, sf_dir):
+    rows = [(int(c), int(i) + 1, float(x)) for c, row in enumerate(_centres(spark, sf_dir)) for i, x in enumerate(row)]
+    return spark.createDataFrame(rows, "cell int, i int, x double").withColumn("x", F.round("x", 6))
+
+
+@query("ivf_search", f"WITH {_sql_cells()}, {_sql_probes(2)}, a AS (SELECT p.qid, own.id, {_sql_distance('euclidean', 'own.v', 'p.q')} AS distance FROM p JOIN own USING (cell))" + _sql_top())
+def ivf_search(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(IvfIndex.build(rows, CELLS, rounds=1, init="first").batch_search(asked(rows), K, 2))
+
+
+@query("ivf_exhaustive", _sql_knn("manhattan", PLAIN))
+def ivf_exhaustive(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(IvfIndex.build(rows, CELLS, "manhattan", rounds=1, init="first").batch_search(asked(rows), K, CELLS))
+
+
+@query("ivf_stats", f"WITH {_sql_cells()} SELECT c.cell::INT AS cell, count(own.id) AS n FROM c LEFT JOIN own USING (cell) GROUP BY 1")
+def ivf_stats(spark, sf_dir):
+    return IvfIndex.build(vectors(spark, sf_dir), CELLS, rounds=1, init="first").sizes()
+
+
+# --- product quantization --------------------------------------------------------
+
+PQ_SQL = f"WITH {PLAIN}, {_sql_books('e')}, {_sql_codes('e')}"
+
+
+def _compressed(spark: SparkSession, sf_dir: str) -> CompressedVectors:
+    return CompressedVectors.build(vectors(spark, sf_dir), PARTS, 4, init="first", rounds=0)
+
+
+@query("pq_encode", f"{PQ_SQL} SELECT id, m::INT AS m, code::INT AS code FROM k")
+def pq_encode(spark, sf_dir):
+    packed = _compressed(spark, sf_dir).codes
+    byte = F.transform(F.sequence(F.lit(1), F.lit(PARTS // 2)), lambda i: F.conv(F.hex(F.substring("codes", i, F.lit(1))), 16, 10).cast("int"))
+    codes = F.flatten(F.transform(byte, lambda b: F.array(b.bitwiseAND(15), F.shiftright(b, 4))))
+    return packed.select("id", F.posexplode(codes).alias("m", "code"))
+
+
+@query("pq_pack4", f"{PQ_SQL} SELECT id, string_agg(lpad(hex(x), 2, '0'), '' ORDER BY h) AS packed FROM (SELECT id, m // 2 AS h, sum(code * CASE WHEN m % 2 = 0 THEN 1 ELSE 16 END)::BIGINT AS x FROM k GROUP BY 1, 2) GROUP BY id")
+def pq_pack4(spark, sf_dir):
+    return _compressed(spark, sf_dir).codes.select("id", F.hex("codes").alias("packed"))
+
+
+_W = 64 // PARTS
+_ADC = f", lut AS (SELECT q.id AS qid, b.m, b.code, {_sum(f'q.v[b.m * {_W} + 1 : b.m * {_W} + {_W}]', 'b.sub', '(p[1] - p[2]) * (p[1] - p[2])')} AS d FROM e AS q, b WHERE q.id % {EVERY} = 0), a AS (SELECT lut.qid, k.id, sqrt(sum(lut.d)) AS distance FROM k JOIN lut ON k.m = lut.m AND k.code = lut.code GROUP BY 1, 2)"
+
+
+@query("pq4_search", PQ_SQL + _ADC + _sql_top())
+def pq4_search(spark, sf_dir):
+    return shown(_compressed(spark, sf_dir).batch_search(asked(vectors(spark, sf_dir)), K))
+
+
+# --- inverted file of codes --------------------------------------------------------
+
+
+def _ivfpq(rows: DataFrame, rerank: int = 1) -> IvfPqIndex:
+    return IvfPqIndex.build(rows, CELLS, PARTS, 4, nprobe=2, rerank_factor=rerank, init="first", rounds=1, pq_rounds=0)
+
+
+@query("ivfpq_search", _sql_ivfpq(K) + _sql_top())
+def ivfpq_search(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(_ivfpq(rows).batch_search(asked(rows), K))
+
+
+@query("ivfpq_rerank", _sql_ivfpq(4 * K) + _sql_reranked())
+def ivfpq_rerank(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(_ivfpq(rows, 4).batch_search(asked(rows), K))
+
+
+@query("ivfpq_filtered", _sql_ivfpq(16 * K, keep="meta.label < 5") + _sql_reranked())
+def ivfpq_filtered(spark, sf_dir):
+    rows, meta = vectors(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return shown(_ivfpq(rows, 4).batch_search(asked(rows), K, metadata=meta, condition=f.lt("label", 5).compile(f.Typed(meta))))
+
+
+@query("ivfpq_insert", _sql_ivfpq(K, train="id IN (SELECT vec_id FROM embeddings WHERE label <> 9)") + _sql_top())
+def ivfpq_insert(spark, sf_dir):
+    every = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    index = _ivfpq(every.where("label <> 9")).insert(every.where("label = 9"))
+    return shown(index.batch_search(asked(every), K))
+
+
+_LIVE = "meta.label <> 3"
+
+
+@query("ivfpq_delete", _sql_ivfpq(K, live=_LIVE) + _sql_top())
+def ivfpq_delete(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    gone = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
+    return shown(_ivfpq(rows).delete(gone).batch_search(asked(rows), K))
+
+
+@query("ivfpq_compact", f"WITH {_sql_cells()} SELECT own.cell::INT AS cell, own.id FROM own JOIN embeddings AS meta ON meta.vec_id = own.id WHERE {_LIVE}")
+def ivfpq_compact(spark, sf_dir):
+    gone = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
+    return _ivfpq(vectors(spark, sf_dir)).delete(gone).compact().cells.select("cell", "id")
+
+
+@query("ivfpq_stats", f"WITH {_sql_cells()}, z AS (SELECT c.cell, count(own.id) AS n FROM c LEFT JOIN own USING (cell) GROUP BY 1) SELECT sum(n)::BIGINT AS n_vectors, count(*) AS n_partitions, min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS std_size FROM z")
+def ivfpq_stats(spark, sf_dir):
+    return _ivfpq(vectors(spark, sf_dir)).stats().select("n_vectors", "n_partitions", "min_size", "max_size", F.round("mean_size", 6).alias("mean_size"), F.round("std_size", 6).alias("std_size"))
+
+
+@query("ivfpq_scan_counts", f"WITH {_sql_cells()}, {_sql_probes(2)} SELECT p.qid, count(DISTINCT p.cell) AS cells_probed, count(own.id) AS vectors_scanned FROM p LEFT JOIN own USING (cell) GROUP BY p.qid")
+def ivfpq_scan_counts(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return _ivfpq(rows).search_stats(asked(rows), K).select("qid", "cells_probed", "vectors_scanned")
+
+
+# --- graphs, logs, snapshots ----------------------------------------------------------
+
+
+@query("hnsw_exhaustive", _sql_knn("euclidean", PLAIN))
+def hnsw_exhaustive(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(HnswIndex.build(rows, 16, 100, shard_rows=1000).with_ef_search(1_000_000).batch_search(asked(rows), K))
+
+
+@query("hnsw_search")
+def hnsw_search(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return shown(HnswIndex.build(rows, 16, 100, shard_rows=1000).with_ef_search(100).batch_search(asked(rows), K))
+
+
+@query("oplog_replay", "SELECT id, metadata FROM (SELECT user_id AS id, arg_max(event_type, event_id) AS op, arg_max(props, event_id) AS metadata FROM events GROUP BY user_id) WHERE op <> 'error'")
+def oplog_replay(spark, sf_dir):
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("insert")
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("id"), F.lit(None).cast("array<float>").alias("vector"), F.col("props").alias("metadata"))
+    return state(log).select("id", "metadata")
+
+
+@query("snapshot_roundtrip", f"WITH {PLAIN} SELECT id, round(list_sum(v), 6) AS total FROM e")
+def snapshot_roundtrip(spark, sf_dir):
+    folder = _folder(spark)
+    snapshot.save(BruteForceIndex(vectors(spark, sf_dir)), folder, spark)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return snapshot.load(folder, spark).vectors.select("id", F.round(total, 6).alias("total"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return shown(_ivfpq(rows, 4).batch_search(asked(rows), K))

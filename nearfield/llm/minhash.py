@@ -120,19 +120,23 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, registers binary")
 
 
+def _bucket_hashes(regs: np.ndarray) -> np.ndarray:
+    rows = REGISTERS // BANDS
+    buckets = np.zeros((len(regs), BANDS), np.uint64)
+    buckets += np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    wide = regs.reshape(len(regs), BANDS, rows).astype(np.uint64)
+    for i in range(rows):
+        buckets = mix64(buckets * np.uint64(257) + wide[:, :, i])
+    return buckets
+
+
 def _bands(sets: DataFrame) -> DataFrame:
     """``doc_id, bucket``: a hash of each band's register values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            regs = _registers(batch.column("registers"))
-            rows = REGISTERS // BANDS
-            buckets = np.zeros((n, BANDS), np.uint64)
-            buckets += np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            wide = regs.reshape(n, BANDS, rows).astype(np.uint64)
-            for i in range(rows):
-                buckets = mix64(buckets * np.uint64(257) + wide[:, :, i])
+            buckets = _bucket_hashes(_registers(batch.column("registers")))
             ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signed(buckets.ravel()))], ["doc_id", "bucket"])
 
@@ -193,16 +197,24 @@ def _grid(members: DataFrame, shard: int) -> DataFrame:
     size = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("g"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
     cell = F.struct(F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    return members.join(size, "bucket").withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("bucket", "doc_id", "component_id", "registers", "n_shingles", "own", cell.alias("cell")).select("*", "cell.i", "cell.j")
+    return members.join(size, "bucket").withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("bucket", "doc_id", "component_id", "registers", "n_shingles", "text", "own", cell.alias("cell")).select("*", "cell.i", "cell.j")
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components inside each block of a bucket."""
+def _links_across(members: DataFrame, least: float, words: int, percent: int) -> DataFrame:
+    """Verified links between different components inside each block of a bucket; nothing else leaves the block.
+
+    A pair is tried only in the bucket of the first band where its sketches agree, and no longer once the
+    block has joined its components.
+    """
+    rows = REGISTERS // BANDS
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, i, j = (k.as_py() for k in key)
-        ids, comp, n, own = (table.column(c).to_numpy() for c in ("doc_id", "component_id", "n_shingles", "own"))
+        table = table.combine_chunks()
+        ids, comp, n, own = (table.column(c).to_numpy().copy() for c in ("doc_id", "component_id", "n_shingles", "own"))
         regs = _registers(table.column("registers").combine_chunks())
+        band = int(np.flatnonzero(_bucket_hashes(regs[:1])[0].view(np.int64) == bucket)[0])
+        h, at = None, None
         a, b = [], []
         right = own == j
         for x in np.flatnonzero(own == i):
@@ -210,17 +222,31 @@ def _across(members: DataFrame, least: float) -> DataFrame:
             if not len(there):
                 continue
             r = regs[there]
-            more, less = (regs[x] > r).sum(axis=1), (regs[x] < r).sum(axis=1)
-            hit = there[estimate(more, less, np.full(len(there), float(n[x])), n[there].astype(float)) >= least]
-            a.append(np.full(len(hit), ids[x]))
-            b.append(ids[hit])
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+            same = (regs[x] == r).sum(axis=1) >= (least - 0.1) * REGISTERS  # registers agree at least as often as shingles do
+            there, r = there[same], r[same]
+            if len(there):
+                earlier = (regs[x] == r)[:, : band * rows].reshape(len(r), band, rows).all(axis=2).any(axis=1)
+                there, r = there[~earlier], r[~earlier]
+            if not len(there):
+                continue
+            guess = estimate((regs[x] > r).sum(axis=1), (regs[x] < r).sum(axis=1), np.full(len(there), float(n[x])), n[there].astype(float))
+            for y in there[guess >= least].tolist():
+                if comp[y] == comp[x]:
+                    continue
+                if h is None:
+                    (_, data, offsets), = text_blocks(table.select(["text"]).to_batches()[0], "text", 1 << 60)
+                    h, at = shingle_sets(data, offsets, words)
+                both = len(np.intersect1d(h[at[x] : at[x + 1]], h[at[y] : at[y + 1]], assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    a.append(max(ids[x], ids[y]))
+                    b.append(min(ids[x], ids[y]))
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return members.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: int = 1000, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: int = 500, scratch: Scratch | None = None) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``.
 
     Texts are lower-cased (A-Z) and split at white space; a set holds the distinct runs of ``words``
@@ -232,7 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
 
     Equal sets are one class (one representative each). Candidates of a bucket are its members with
     the bucket's smallest id; only where that leaves a bucket with several components are the
-    remaining pairs across components tried, in a grid of bounded blocks.
+    remaining pairs across components tried and verified in a grid of bounded blocks.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     least = percent / 100 - SLACK
@@ -257,12 +283,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
     mixed = label.groupBy("bucket").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y").select("bucket")
     rest = scratch.save(label.join(mixed, "bucket", "left_semi"), "rest")
     if rest.limit(1).count():
-        rest = rest.join(sets, "doc_id")
-        more = _across(_grid(rest, shard), least).join(pairs, ["a", "b"], "left_anti")
-        more = scratch.save(more, "pairs-2")
-        inside = more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct()
-        texts = scratch.save(source.join(inside, "doc_id", "left_semi"), "texts-2")
-        links = links.union(_verified(more, texts, words, percent))
+        rest = rest.join(sets, "doc_id").join(source, "doc_id")
+        more = scratch.save(_links_across(_grid(rest, shard), least, words, percent), "links-2")
+        links = links.union(more)
         found = scratch.save(components(links, scratch, "all"), "all")
     of_class = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", F.coalesce("component_id", "class_id").alias("component_id"))
     out = has.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,22 @@ from nearfield.functions.filters import VALUE, Condition, Tagged, decode_json
 MAP = f"map<string,{VALUE}>"
 
 
+_ITEM = [("tag", pa.string()), ("s", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_())]
+_ARROW = pa.map_(pa.string(), pa.struct([*_ITEM, ("a", pa.list_(pa.struct(_ITEM)))]))
+
+
 def from_json(rows: DataFrame, column: str = "json") -> DataFrame:
     """``id, metadata`` of JSON objects; malformed text and anything but an object give an empty map.
 
     The parsing of values with their types stays in Python: numbers keep integer and float apart.
     """
-    @F.pandas_udf(MAP)
-    def parse(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: list(decode_json(x).items()))
 
-    return rows.select(F.col("id").cast("long").alias("id"), parse(F.col(column).cast("string")).alias("metadata"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [list(decode_json(x).items()) for x in batch.column("json").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(maps, _ARROW)], ["id", "metadata"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), F.col(column).cast("string").alias("json")).mapInArrow(run, f"id long, metadata {MAP}")
 
 
 class MetadataStore:

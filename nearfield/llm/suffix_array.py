@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from ._common import ONE, Scratch, mix64, text_blocks
 from ._segments import Units, merged, repeated_spans
 
+#: Bytes of the grams that key segments: long enough that hardly any repeats by chance in a large corpus.
+GRAM = 48
 #: Stands where a text has no preceding symbol; no symbol has this code.
 END = 65535
 
@@ -238,7 +240,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200, scratch: Scratch |
     scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.drop("spans", "kept")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = Units(words=False, width=width, gram=max(1, min(24, width // 2)))
+    units = Units(words=False, width=width, gram=max(1, min(GRAM, width // 2)))
     spans = repeated_spans(source, units, bwt_kernel(width, units.gram), False, scratch, max_group)
     joined = docs.join(spans.withColumnRenamed("doc", "__doc"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
     names = [f.name for f in docs.schema]

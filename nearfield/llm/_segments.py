@@ -182,11 +182,12 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, across: bool,
     """
     docs = docs.where("doc_id is not null and text is not null")
     runs = _runs(docs, units)
-    keys = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # counted keys and sizes are written first: a join with nothing but exchanges below can split a hot key
+    keys = scratch.save(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     runs = scratch.save(runs.join(keys, "key", "left_semi"), "runs")
     digests = runs.groupBy("key", "ext").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(F.struct("doc", "pos")).alias("rep"))
     digests = scratch.save(digests, "digests")
-    size = digests.groupBy("key").agg(F.count("*").alias("group"))
+    size = scratch.save(digests.groupBy("key").agg(F.count("*").alias("group")), "sizes")
     digests = scratch.save(digests.join(size, "key"), "sized")
     whole = F.array(F.struct(F.lit(0).alias("o"), (F.col("rep.pos") % 512 + units.width - 1).cast("int").alias("e"), (F.col("first") if across else F.lit(-(2**63))).alias("first")))
     alone = digests.where("group = 1").where("first < last" if across else "n > 1").select("key", "ext", whole.cast(SPANS).alias("spans"))

@@ -70,15 +70,15 @@ def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate:
     y = np.array([d[0] for d in docs], np.float64)
     counts = np.array([int(d[2].max(initial=-1)) + 1 for d in docs])
     offset = np.concatenate([[0], np.cumsum(counts)])
-    feature = np.concatenate([d[1] for d in docs])
-    sentence = np.concatenate([d[2] + o for d, o in zip(docs, offset[:-1], strict=True)])
-    owner = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
-    pair = np.unique(owner * FEATURES + feature)
-    has = np.bincount(pair % FEATURES, minlength=FEATURES).astype(float)
-    hot = np.bincount(pair % FEATURES, weights=y[pair // FEATURES], minlength=FEATURES)
+    has, hot = np.zeros(FEATURES), np.zeros(FEATURES)
+    for label, words, _ in docs:
+        own = np.unique(words)
+        has[own] += 1
+        hot[own] += label
     used = (hot * len(y) > has * y.sum()) & (_ratio(hot, has, y.sum(), len(y)) >= least)
-    kept, slot = np.unique(feature[used[feature]], return_inverse=True)
-    sentence = sentence[used[feature]]
+    on = [used[d[1]] for d in docs]  # from here only the few words that count are in memory
+    kept, slot = np.unique(np.concatenate([d[1][m] for d, m in zip(docs, on, strict=True)]), return_inverse=True)
+    sentence = np.concatenate([d[2][m] + o for d, m, o in zip(docs, on, offset[:-1], strict=True)])
     text = np.repeat(np.arange(len(docs)), counts)
     w = np.zeros(len(kept) + 1)
     w[-1] = bias
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(rows), "id").select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, feature binary, sentence binary")
     got = sorted(found.collect(), key=lambda r: (r.id, r.feature))
-    return fit([(r.toxic, np.frombuffer(r.feature, "<i4").astype(np.int64), np.frombuffer(r.sentence, "<i4").astype(np.int64)) for r in got])
+    return fit([(r.toxic, np.frombuffer(r.feature, "<i4"), np.frombuffer(r.sentence, "<i4")) for r in got])
 
 
 def _held_out(column: str):

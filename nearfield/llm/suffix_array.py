@@ -158,13 +158,14 @@ class Columns:
         return [out[x : max(x, y - self.width + 1)] for x, y in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
 
 
-def narrowed(key: np.ndarray, data: np.ndarray, at: np.ndarray, width: int, gram: int, block: int = 16) -> tuple[np.ndarray, ...]:
+def narrowed(key: np.ndarray, data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Stretches of segments that may hold a repeated window: segment, first window, windows, core.
 
     Windows are dealt to blocks by their distance from the segment's key gram; all windows of a block
     hold the same core of ``width - block + 1`` bytes around it, so a block whose core no other
     segment has can hold no repeated window.
     """
+    block = max(1, min(16, width // 4))
     size = np.diff(at) - width + 1
     prefix = ONE.prefix(ONE.bytes[data])
     grams = ONE.rolling(prefix, gram)

@@ -192,12 +192,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _grid(members: DataFrame, shard: int) -> DataFrame:
-    """Members of buckets dealt to blocks: pairs of shards, so no task holds more than ``2 * shard`` of a bucket on average."""
-    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("g"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
-    cell = F.struct(F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    return members.join(size, "bucket").withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("bucket", "doc_id", "component_id", "registers", "n_shingles", "text", "own", cell.alias("cell")).select("*", "cell.i", "cell.j")
+def _grid(rest: DataFrame, shard: int) -> DataFrame:
+    """``rest(bucket, doc_id, component_id)`` dealt to blocks ``(i, j)``, pairs of shards of at most ``shard`` members on average.
+
+    The shards of a bucket's largest component come first and meet only those of the other members: pairs
+    inside it are joined already. So a huge component with a few strangers costs rows in proportion to
+    its size, and what is quadratic is the number of members outside it. A bucket that fits in one shard is one block.
+    """
+    parts = rest.groupBy("bucket", "component_id").agg(F.count("*").alias("n"))
+    size = parts.groupBy("bucket").agg(F.max(F.struct("n", "component_id")).alias("top"), F.sum("n").alias("total"))
+    shards = lambda n: F.ceil(n / F.lit(shard)).cast("int")
+    apart = F.when(F.col("total") > shard, F.col("top.n")).otherwise(0)
+    size = size.select("bucket", F.when(apart > 0, F.col("top.component_id")).alias("main"), shards(apart).alias("g"), shards(F.col("total") - apart).alias("r"))
+    inside, deal = F.col("component_id").eqNullSafe(F.col("main")), lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    own = F.when(inside, deal("g")).otherwise(F.col("g") + deal("r"))
+    meets = F.explode(F.sequence(F.when(inside, F.col("g")).otherwise(F.lit(0)), F.col("g") + F.col("r") - 1))
+    dealt = rest.join(size, "bucket").withColumn("own", own).withColumn("x", meets)
+    return dealt.select("bucket", "doc_id", "component_id", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
 
 
 def _links_across(members: DataFrame, least: float, words: int, percent: int) -> DataFrame:
@@ -283,8 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
     mixed = label.groupBy("bucket").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y").select("bucket")
     rest = scratch.save(label.join(mixed, "bucket", "left_semi"), "rest")
     if rest.limit(1).count():
-        rest = rest.join(sets, "doc_id").join(source, "doc_id")
-        more = scratch.save(_links_across(_grid(rest, shard), least, words, percent), "links-2")
+        dealt = _grid(rest, shard).join(sets, "doc_id").join(source, "doc_id")
+        more = scratch.save(_links_across(dealt, least, words, percent), "links-2")
         links = links.union(more)
         found = scratch.save(components(links, scratch, "all"), "all")
     of_class = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", F.coalesce("component_id", "class_id").alias("component_id"))

@@ -71,6 +71,21 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.kept) for r in got) == [(-1, True), (3, True), (3, True)]
 
 
+def test_blocks_hold_each_pair_across_components_once(spark):
+    members = [(1, i, 0) for i in range(40)] + [(1, 100, 100)] + [(2, i, i % 3) for i in range(20)]
+    rows = minhash._grid(spark.createDataFrame(members, "bucket long, doc_id long, component_id long"), 4).collect()
+    assert sum(r.bucket == 1 for r in rows) == 40 + 11  # linear with one stranger
+    cells, met = {}, Counter()
+    for r in rows:
+        cells.setdefault((r.bucket, r.i, r.j), []).append(r)
+    for (bucket, i, j), inside in cells.items():
+        for a in inside:
+            for b in inside:
+                if a.own == i and b.own == j and a.component_id != b.component_id and (i != j or a.doc_id < b.doc_id):
+                    met[bucket, *sorted((a.doc_id, b.doc_id))] += 1
+    assert met == Counter({(k, a, b): 1 for k, a, x in members for m, b, y in members if k == m and a < b and x != y})
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

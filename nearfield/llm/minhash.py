@@ -23,6 +23,8 @@ from ._graph import components
 
 #: Registers, their base and rate; 40 bands of 8: a pair at 0.85 shares no band with probability 3e-6.
 REGISTERS, BANDS, BASE, RATE = 320, 40, 1.1, 20.0
+#: Points drawn in one step of sketching a block, and of one shingle.
+DRAWS, MOST_DRAWS = 1 << 14, 64
 #: Four standard deviations of the estimate (0.02 at 0.85) below the threshold.
 SLACK = 0.08
 
@@ -52,28 +54,39 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarr
             has = count[short] > i
             hs[has] = hs[has] * np.uint64(0xD6E8FEB86659FD93) + w[np.minimum(word_at[short] + i, len(w) - 1)][has]
         h, own = np.concatenate([h, mix64(hs + count[short].astype(np.uint64))]), np.concatenate([own, short])
-    order = np.lexsort((h, own))
-    h, own = h[order], own[order]
+        order = np.argsort(own, kind="stable")
+        h, own = h[order], own[order]
+    bounds = np.searchsorted(own, np.arange(docs + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-    h, own = h[keep], own[keep]
-    return h, np.searchsorted(own, np.arange(docs + 1))
+    return h[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
 def sketch(h: np.ndarray, at: np.ndarray, m: int = REGISTERS, base: float = BASE, rate: float = RATE) -> np.ndarray:
-    """Registers (one row of ``m`` bytes a set) of sets given by sorted hashes and offsets."""
+    """Registers (one row of ``m`` bytes a set) of sets given by sorted hashes and offsets.
+
+    The ``i``-th draw of a shingle is a function of its hash and ``i``: the upper half gives the time since
+    the point before, the lower half the register. A shingle ends once it is past all registers of its set.
+    """
     docs = len(at) - 1
-    least = np.full(docs * m, np.inf)
+    least = np.full((docs, m), np.inf)
+    flat = least.ravel()
     owner = np.repeat(np.arange(docs), np.diff(at))
-    state, time = h.copy(), np.zeros(len(h))
-    while len(state):
-        state = mix64(state + np.uint64(0x9E3779B97F4A7C15))
-        time = time - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (rate * m)
-        spot = owner * m + (mix64(state ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(m)).astype(np.int64)
-        np.minimum.at(least, spot, time)
-        bound = least.reshape(docs, m).max(axis=1)
-        on = time < bound[owner]
-        state, time, owner = state[on], time[on], owner[on]
+    time, drawn = np.zeros(len(h)), 0
+    while len(h):
+        steps = np.arange(drawn + 1, drawn + 1 + min(MOST_DRAWS, max(1, DRAWS // len(h))), dtype=np.uint64)
+        draws = mix64(h[:, None] + steps * np.uint64(0x9E3779B97F4A7C15))
+        times = np.log(((draws >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
+        times = time[:, None] - np.cumsum(times, axis=1) / (rate * m)
+        spot = ((draws & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)).astype(np.int64) + owner[:, None] * m
+        np.minimum.at(flat, spot.ravel(), times.ravel())
+        time, drawn = times[:, -1], drawn + len(steps)
+        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        bound = least[owner[heads]].max(axis=1)
+        on = time < np.repeat(bound, np.diff(np.append(heads, len(owner))))
+        h, time, owner = h[on], time[on], owner[on]
     with np.errstate(divide="ignore"):
         k = np.floor(1.0 - np.log(least) / np.log(base))
     return np.clip(np.where(np.isfinite(k), k, 0), 0, 255).astype(np.uint8).reshape(docs, m)

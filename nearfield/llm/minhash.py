@@ -312,6 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
         links = links.union(more)
         found = scratch.save(components(links, scratch, "all"), "all")
     of_class = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", F.coalesce("component_id", "class_id").alias("component_id"))
+    of_class = scratch.save(of_class, "classes")  # with nothing but exchanges below the next join, Spark can split a class of very many copies
     out = has.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -23,6 +23,9 @@ class InsufficientVectors(VectorError): ...
 class InvalidParameter(VectorError, ValueError): ...
 
 
+class DimensionNotDivisible(InvalidParameter): ...
+
+
 class NotSupported(VectorError): ...
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.errors import DimensionMismatch, EmptyIndex, EmptyTrainingSet, InvalidParameter, MemoryLimitExceeded, SearchTimeout, VectorLimitExceeded
+from nearfield.errors import DimensionMismatch, DimensionNotDivisible, EmptyIndex, EmptyTrainingSet, InvalidParameter, MemoryLimitExceeded, SearchTimeout, VectorLimitExceeded
 from nearfield.functions.distances import distance, parse_metric
 
 from . import kmeans
@@ -323,7 +323,7 @@ class IvfPqBuilder:
         if p["clusters"] > n:
             raise InvalidParameter(f"{p['clusters']} cells for {n} vectors")
         if high % p["subvectors"]:
-            raise InvalidParameter(f"dimension {high} is no multiple of {p['subvectors']}")
+            raise DimensionNotDivisible(f"dimension {high} is no multiple of {p['subvectors']}")
         if self.memory_target_mib is not None and (mib := self.memory_mib(n, high, p["clusters"], p["subvectors"])) > self.memory_target_mib:
             warnings.warn(f"about {mib} MiB; the target is {self.memory_target_mib}", stacklevel=2)
         return IvfPqIndex.build(vectors, p["clusters"], p["subvectors"], self.bits, self.metric, p["nprobe"], self.rerank_factor, self.reranking or self.rerank_factor > 1, seed=self.seed)

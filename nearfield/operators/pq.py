@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.errors import DimensionMismatch, EmptyTrainingSet, InvalidParameter
+from nearfield.errors import DimensionMismatch, DimensionNotDivisible, EmptyTrainingSet, InvalidParameter
 
 from . import kmeans
 from .topk import best_of, matrix
@@ -44,7 +44,7 @@ class ProductQuantizer:
         if not len(rows):
             raise EmptyTrainingSet("no vectors to train on")
         if m < 1 or rows.shape[1] % m:
-            raise InvalidParameter(f"dimension {rows.shape[1]} is no multiple of {m} parts")
+            raise DimensionNotDivisible(f"dimension {rows.shape[1]} is no multiple of {m} parts")
         parts = np.split(rows.astype(np.float64), m, axis=1)
         return cls(np.stack([kmeans.fit_local(p, 1 << bits, rounds, init, seed + i) for i, p in enumerate(parts)]))
 

@@ -258,7 +258,7 @@ _filter_query("starts_with", f.starts_with("source", "src1"), "source LIKE 'src1
 _filter_query("and", f.all_of(f.eq("lang", "en"), f.gt("n_chars", 1000), f.ne("toxic", 1)), "lang = 'en' AND n_chars > 1000 AND toxic IS DISTINCT FROM 1")
 _filter_query("or", f.any_of(f.eq("quality", 0), f.lt("n_chars", 300)), "coalesce(quality = 0, false) OR n_chars < 300")
 _filter_query("not", f.negate(f.gt("quality", 0)), "NOT coalesce(quality > 0, false)")
-_filter_query("typed", f.eq("n_chars", 2000.0), "false")
+_filter_query("typed", f.any_of(f.eq("n_chars", 2000.0), f.between("quality", 1.0, 1.0)), "quality = 1")
 
 
 @query("filter_contains", f"WITH {CONVERSATIONS} SELECT conv_id FROM m WHERE list_contains(roles, 'system')")

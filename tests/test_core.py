@@ -110,7 +110,7 @@ def test_pq():
     for r, c in zip(rows[:5], codes, strict=True):
         assert pq.distance(rows[7], c) == pytest.approx(math.sqrt(((rows[7] - pq.decode(c[None, :])[0]) ** 2).sum()))
         assert ((r - pq.decode(c[None, :])[0]) ** 2).sum() < 0.2
-    with pytest.raises(errors.InvalidParameter):
+    with pytest.raises(errors.DimensionNotDivisible):
         ProductQuantizer.train(rows, 3)
     with pytest.raises(errors.EmptyTrainingSet):
         ProductQuantizer.train(rows[:0], 4)

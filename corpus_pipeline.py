@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    """The document with the smallest id of each group of near duplicates (similarity 0.8 or more of runs of five words)."""
+    found = minhash.near_duplicates(docs, percent=80, bands=45).where(~F.col("kept")).select("doc_id")
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 

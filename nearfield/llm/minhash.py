@@ -25,7 +25,7 @@ from ._graph import components
 REGISTERS, BANDS, BASE, RATE = 320, 40, 1.1, 20.0
 #: Points drawn in one step of sketching a block, and of one shingle.
 DRAWS, MOST_DRAWS = 1 << 14, 64
-#: Four standard deviations of the estimate (0.02 at 0.85) below the threshold.
+#: At least four standard deviations of the estimate (0.02 at 0.85) below the threshold.
 SLACK = 0.08
 
 
@@ -133,24 +133,24 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, registers binary")
 
 
-def _bucket_hashes(regs: np.ndarray) -> np.ndarray:
-    rows = REGISTERS // BANDS
-    buckets = np.zeros((len(regs), BANDS), np.uint64)
-    buckets += np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    wide = regs.reshape(len(regs), BANDS, rows).astype(np.uint64)
+def _bucket_hashes(regs: np.ndarray, bands: int) -> np.ndarray:
+    rows = REGISTERS // bands
+    buckets = np.zeros((len(regs), bands), np.uint64)
+    buckets += np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    wide = regs[:, : bands * rows].reshape(len(regs), bands, rows).astype(np.uint64)
     for i in range(rows):
         buckets = mix64(buckets * np.uint64(257) + wide[:, :, i])
     return buckets
 
 
-def _bands(sets: DataFrame) -> DataFrame:
+def _bands(sets: DataFrame, bands: int) -> DataFrame:
     """``doc_id, bucket``: a hash of each band's register values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            buckets = _bucket_hashes(_registers(batch.column("registers")))
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), BANDS)
+            buckets = _bucket_hashes(_registers(batch.column("registers")), bands)
+            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), bands)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signed(buckets.ravel()))], ["doc_id", "bucket"])
 
     return sets.select("doc_id", "registers").mapInArrow(run, "doc_id long, bucket long")
@@ -224,20 +224,20 @@ def _grid(rest: DataFrame, shard: int) -> DataFrame:
     return dealt.select("bucket", "doc_id", "component_id", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
 
 
-def _links_across(members: DataFrame, least: float, words: int, percent: int) -> DataFrame:
+def _links_across(members: DataFrame, least: float, words: int, percent: int, bands: int) -> DataFrame:
     """Verified links between different components inside each block of a bucket; nothing else leaves the block.
 
     A pair is tried only in the bucket of the first band where its sketches agree, and no longer once the
     block has joined its components.
     """
-    rows = REGISTERS // BANDS
+    rows = REGISTERS // bands
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, i, j = (k.as_py() for k in key)
         table = table.combine_chunks()
         ids, comp, n, own = (table.column(c).to_numpy().copy() for c in ("doc_id", "component_id", "n_shingles", "own"))
         regs = _registers(table.column("registers").combine_chunks())
-        band = int(np.flatnonzero(_bucket_hashes(regs[:1])[0].view(np.int64) == bucket)[0])
+        band = int(np.flatnonzero(_bucket_hashes(regs[:1], bands)[0].view(np.int64) == bucket)[0])
         h, at = None, None
         a, b = [], []
         right = own == j
@@ -270,7 +270,7 @@ def _links_across(members: DataFrame, least: float, words: int, percent: int) ->
     return members.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: int = 500, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: int = 500, scratch: Scratch | None = None, bands: int = BANDS) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``.
 
     Texts are lower-cased (A-Z) and split at white space; a set holds the distinct runs of ``words``
@@ -282,17 +282,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
 
     Equal sets are one class (one representative each). Candidates of a bucket are its members with
     the bucket's smallest id; only where that leaves a bucket with several components are the
-    remaining pairs across components tried and verified in a grid of bounded blocks.
+    remaining pairs across components tried and verified in a grid of bounded blocks. ``bands`` share the
+    registers in equal runs; a lower ``percent`` needs more of them to miss as little.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    least = percent / 100 - SLACK
+    least = percent / 100 - max(SLACK, 4 * (percent * (100 - percent) / REGISTERS) ** 0.5 / 100)
     every = scratch.save(signatures(docs, words), "signatures")
     has = every.where("n_shingles > 0 and doc_id is not null")
     classes = has.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     sets = scratch.save(has.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "registers"), "sets")
-    bands = _bands(sets)
-    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
-    members = scratch.save(bands.join(shared, "bucket"), "members")
+    banded = _bands(sets, bands)
+    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
+    members = scratch.save(banded.join(shared, "bucket"), "members")
     pairs = members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = scratch.save(_likely(pairs, sets, least), "pairs")
     inside = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -308,7 +309,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
     rest = scratch.save(label.join(mixed, "bucket", "left_semi"), "rest")
     if rest.limit(1).count():
         dealt = _grid(rest, shard).join(sets, "doc_id").join(source, "doc_id")
-        more = scratch.save(_links_across(dealt, least, words, percent), "links-2")
+        more = scratch.save(_links_across(dealt, least, words, percent, bands), "links-2")
         links = links.union(more)
         found = scratch.save(components(links, scratch, "all"), "all")
     of_class = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", F.coalesce("component_id", "class_id").alias("component_id"))

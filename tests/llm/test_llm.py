@@ -325,3 +325,25 @@ def test_pipeline(spark, tmp_path):
     words = {i: (t or "").split() for i, t in kept.items()}
     windows = Counter(w for x in words.values() for w in {tuple(x[j : j + 50]) for j in range(len(x) - 49)})
     assert max(windows.values(), default=1) == 1
+
+
+def test_pipeline_links_near_duplicates_from_four_fifths(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    sets, rows = {}, []
+    for k in range(60):  # a run of 104 words has 100 shingles; one changed word inside takes five of them
+        w = [f"w{k}x{i}" for i in range(104)]
+        near = list(w)
+        for c in range(2 if k % 3 else 3):
+            near[10 + 20 * c + rng.randrange(9)] = f"z{k}x{c}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near))]
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    share = lambda a, b: (len(sets[a] & sets[b]), len(sets[a] | sets[b]))
+    gone = {b for a in sets for b in sets if a < b and 5 * share(a, b)[0] >= 4 * share(a, b)[1]}
+    assert len(gone) == 40 and all(100 * share(b - 1, b)[0] < 85 * share(b - 1, b)[1] for b in gone)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert left == set(sets) - gone

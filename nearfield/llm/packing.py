@@ -17,46 +17,57 @@ from pyspark.sql import types as T
 
 from ._common import SPACE, Scratch, text_blocks, word_bounds
 
-#: Lengths the programme considers as boundaries at most; rows of a shard.
-CANDIDATES, SHARD_ROWS = 1024, 4096
+#: Rows of a shard.
+SHARD_ROWS = 4096
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
     """Upper bounds of at most ``buckets`` buckets with the least total padding, from a histogram.
 
-    All distinct lengths are candidates up to ``CANDIDATES``; beyond, that many quantiles of the
-    tokens and the largest length, while costs still count every length.
+    Every distinct length is a candidate. Costs form a Monge array, so the best cut before a length never
+    moves back as lengths grow, and halving the lengths gives each step in ``n * log(n)``.
     """
-    order = np.argsort(lengths)
-    lengths, counts = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.float64)[order]
-    if not len(lengths):
+    lengths, at = np.unique(np.asarray(lengths, np.int64), return_inverse=True)
+    n = len(lengths)
+    if not n:
         return np.zeros(0, np.int64)
-    rows, tokens = np.cumsum(counts), np.cumsum(counts * lengths)
-    at = np.arange(len(lengths))
-    if len(at) > CANDIDATES:
-        at = np.unique(np.append(np.searchsorted(tokens, np.linspace(0, tokens[-1], CANDIDATES + 1)[1:]), len(lengths) - 1))
-        at = at[at < len(lengths)]
-    top, rows, tokens = lengths[at].astype(np.float64), np.append(0, rows[at]), np.append(0, tokens[at])
-    n = len(at)
-    # cost of a bucket with candidates i+1..j: padding up to top[j]
-    cost = np.full((n + 1, n + 1), np.inf)
-    i, j = np.triu_indices(n + 1, 1)
-    cost[i, j] = top[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
-    best, back = cost[0].copy(), []
-    best[0] = 0
-    for _ in range(min(buckets, n) - 1):
-        total = best[:, None] + cost
-        back.append(total.argmin(axis=0))
-        nxt = np.minimum(best, total.min(axis=0))
-        back[-1] = np.where(nxt < best, back[-1], -1)
-        best = nxt
-    out, j = [], n
-    for step in reversed(back):
-        if step[j] >= 0:
-            out.append(int(top[j - 1]))
-            j = int(step[j])
-    out.append(int(top[j - 1]))
-    return np.unique(out)
+    number = np.zeros(n, np.int64)
+    np.add.at(number, at, np.asarray(counts, np.int64))
+    exact = np.int64 if int(lengths[-1]) * int(number.sum()) < 1 << 61 else object  # whole numbers at every size
+    top, number = np.append(0, lengths).astype(exact), np.append(0, number).astype(exact)
+    rows, tokens = np.cumsum(number), np.cumsum(number * top)
+    best, back = top * rows - tokens, []
+    for k in range(1, min(buckets, n)):  # one more bucket never pads more
+        best, cut = _step(best + tokens, top, rows, tokens, k)
+        back.append(cut)
+    out, j = [n], n
+    for cut in reversed(back):
+        j = int(cut[j])
+        out.append(j)
+    return lengths[np.array(out[::-1]) - 1]
+
+
+def _step(before: np.ndarray, top: np.ndarray, rows: np.ndarray, tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of lengths ``1..j`` for each ``j > least`` and the cut ``i`` it comes from, ``least <= i < j``."""
+    n = len(top) - 1
+    best, cut = np.zeros_like(before), np.zeros(n + 1, np.int32)
+    a, b, lo, hi = (np.array([x]) for x in (least + 1, n, least, n - 1))
+    while len(a):
+        mid = (a + b) // 2
+        size = np.minimum(hi, mid - 1) - lo + 1
+        starts = np.cumsum(size) - size
+        i = np.arange(size.sum()) + np.repeat(lo - starts, size)
+        total = before[i] - np.repeat(top[mid], size) * rows[i]
+        least_of = np.minimum.reduceat(total, starts)
+        hits = np.flatnonzero(total == np.repeat(least_of, size))
+        first = i[hits[np.searchsorted(hits, starts)]]
+        best[mid], cut[mid] = least_of + top[mid] * rows[mid] - tokens[mid], first
+        a, b, lo, hi = (np.concatenate(x) for x in ((a, mid + 1), (mid - 1, b), (lo, first), (first, hi)))
+        on = a <= b
+        a, b, lo, hi = a[on], b[on], lo[on], hi[on]
+        order = np.argsort(a)
+        a, b, lo, hi = a[order], b[order], lo[order], hi[order]
+    return best, cut
 
 
 def word_lengths(docs: DataFrame) -> DataFrame:
@@ -102,11 +113,7 @@ def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, length: str |
     return ranked.select("doc_id", "length", "bucket", F.floor(place / size).cast("long").alias("batch"), F.pmod(place, size).cast("long").alias("slot"), (F.col("bucket") - F.col("length")).alias("padded"))
 
 
-def _histogram(sized: DataFrame, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct lengths and their counts; over ``most`` lengths are first rounded up to three digits (bounded, no row is lost)."""
-    counts = sized.groupBy("length").agg(F.count("*").alias("n"))
-    if counts.count() > most:
-        unit = F.pow(F.lit(10), F.greatest(F.floor(F.log10("length")) - 2, F.lit(0)))
-        counts = counts.groupBy((F.ceil(F.col("length") / unit) * unit).cast("long").alias("length")).agg(F.sum("n").alias("n"))
-    rows = counts.collect()
-    return np.array([r.length for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+def _histogram(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths and their counts; ``n`` lengths of words take texts of ``n * n / 2`` words, so they are few."""
+    found = sized.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    return found.column("length").to_numpy(), found.column("n").to_numpy()

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nearfield.llm import ann, decontaminate, licences, minhash, packing, simple8b, substring, suffix_array, toxicity, warc
 from nearfield.llm._common import Scratch
@@ -291,6 +292,25 @@ def test_boundaries_are_optimal(lengths, buckets, rng):
     assert len(got) <= buckets and cost(got.tolist()) == best
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 45])
+def test_boundaries_are_optimal_beyond_a_thousand_lengths(scale):
+    rng = np.random.default_rng(0)
+    lengths = np.unique((rng.pareto(0.7, 4000) * 300 + 1).astype(np.int64) % 1_000_000)[:1600]
+    counts = rng.integers(1, 60, len(lengths))
+    n, rows, tokens = len(lengths), np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
+    cost = np.where(np.tri(n + 1, k=-1).T > 0, np.append(0, lengths) * (rows - rows[:, None]) - (tokens - tokens[:, None]), 1 << 60)
+    best = cost[0]
+    for _ in range(15):
+        best = np.minimum(best, (best[:, None] + cost).min(axis=0))
+    got = packing.boundaries(lengths * scale, counts, 16) // scale
+    assert n > 1024 and len(got) == 16 and (counts * (got[np.searchsorted(got, lengths)] - lengths)).sum() == best[n]
+
+
+def test_packing_counts_every_length(spark):
+    lengths, counts = packing._histogram(spark.range(1, 100_203).select((F.col("id") * 7).alias("length")))
+    assert sorted(lengths.tolist()) == list(range(7, 7 * 100_203, 7)) and set(counts.tolist()) == {1}
+
+
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 4)
     rows = [*corpus(6), (None, "a b"), (None, None), (3, "again")]

@@ -280,6 +280,41 @@ def test_licences(spark):
     assert licences.scan_licences(frame(spark, [])).count() == 0 and licences.scan_licences(frame(spark, rows), []).where("licence is not null").count() == 0
 
 
+def test_licences_inside_lines_and_over_lines(spark):
+    text = dict(licences.TEMPLATES[::-1])
+    gpl = next(t for n, t in licences.TEMPLATES if n == "GPL-3.0" and t.startswith("This program")).split()
+    header = "/*\n * Copyright (C) 2020 A. Nobody\n *\n" + "".join(f" * {' '.join(gpl[i : i + 9])}\n" for i in range(0, len(gpl), 9)) + " */\n#include <stdio.h>\n" + "int main(void) { return puts(x); }\n" * 9 + "static long a, b, c, d, e, f, g, h, i, j, k, l, m, n, o, p, q;\n" * 3
+    full = next(t for n, t in licences.TEMPLATES if n == "GPL-2.0" and len(t) > 9000)
+    rows = [
+        (1, "Some text of ours stands here first. Released under the MIT License. And then it goes on for a while without an end"),
+        (2, header),
+        (3, "İ and so on, all of it Released under the MIT Licence! which is more text in the line"),
+        (4, "x y z. This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License. We say so here"),
+        (5, "our own words before it " * 9 + "\n" + full + "\n" + "and others after it " * 9),
+        (6, "licensed to the public, released under the name of a license"),
+        (7, "words before. " + text["MIT"][:31] + " Then some other words; Licensed under CC BY-NC 4.0. and more of them"),
+    ]
+    got = digest(licences.scan_licences(frame(spark, rows)))
+    assert [(got[i].licence, got[i].dice) for i in (1, 2, 4)] == [("MIT", 1), ("GPL-3.0", 1), ("CC-BY-NC-4.0", 1)]
+    assert got[3].licence == "MIT" and got[3].dice == 6 / 7 and got[5].licence == "GPL-2.0" and got[5].dice > 0.99 and got[6].licence is None
+    assert [rows[0][1][m.o : m.e] for m in got[1].matches] == ["Released under the MIT License"] and [rows[2][1][m.o : m.e] for m in got[3].matches] == ["Released under the MIT"]
+    assert {m.licence for m in got[4].matches} == {"CC-BY-NC-4.0"} and {m.licence for m in got[7].matches} == {"MIT", "CC-BY-NC-4.0"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=40), st.lists(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=7), min_size=1, max_size=3), st.sampled_from([0.5, 0.7, 0.8, 1.0]))
+def test_licences_try_every_run(words, templates, least):
+    templates = [(f"t{k}", " ".join(t)) for k, t in enumerate(templates)]
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    best = max(dice(licences.bigrams(" ".join(words[i:j])), licences.bigrams(t)) for _, t in templates for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+    found = licences.Scanner(templates, least).scan(" ".join(words))
+    assert bool(found) == (best >= least)
+    if found and found[0][2:] != (0, len(" ".join(words))):  # not matched as a whole line
+        assert max(d for _, d, _, _ in found) == best
+    for name, d, a, b in found:
+        assert d == max(dice(licences.bigrams(" ".join(words)[a:b]), licences.bigrams(t)) for n, t in templates if n == name) >= least
+
+
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=9, unique=True), st.integers(1, 4), st.randoms())
 def test_boundaries_are_optimal(lengths, buckets, rng):
     from itertools import combinations

@@ -29,20 +29,20 @@ def best_of(found: DataFrame, k: int | None, per_query: DataFrame | None = None)
     ranked = found.withColumn("rank", F.row_number().over(order))
     if per_query is not None:
         ranked = ranked.join(per_query, "qid").where("rank <= k").drop("k")
-    else:
+    elif k is not None:
         ranked = ranked.where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "id", "distance")
 
 
-def _local(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, limit: float | None) -> pa.RecordBatch:
+def _local(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int | None, limit: float | None) -> pa.RecordBatch:
     out: list[list[np.ndarray]] = [[], [], []]
     if len(ids) and len(qids):
         for a in range(0, len(qids), 256):
-            for q, near in enumerate(shortlist(metric, rows, queries[a : a + 256], k), a):
+            for q, near in enumerate(shortlist(metric, rows, queries[a : a + 256], len(ids) if k is None else k), a):
                 d = distances(metric, rows[near], queries[q])
                 if limit is not None:
                     near, d = near[d <= limit], d[d <= limit]
-                if len(near) > k:
+                if k is not None and len(near) > k:
                     best = np.lexsort((ids[near], d))[:k]
                     near, d = near[best], d[best]
                 for o, x in zip(out, (np.full(len(near), qids[q]), ids[near], d), strict=True):
@@ -51,15 +51,18 @@ def _local(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, que
     return pa.RecordBatch.from_arrays([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int64)), pa.array(cat[2].astype(np.float64))], ["qid", "id", "distance"])
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "euclidean", max_distance: float | None = None, per_query_k: bool = False) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int | None = 10, metric: str = "euclidean", max_distance: float | None = None, per_query_k: bool = False) -> DataFrame:
     """``vectors(id, embedding)`` against ``queries(qid, embedding[, k])`` -> ``qid, rank, id, distance``.
 
     Each block of vectors keeps ``k`` rows a query, so a shuffle moves ``blocks * k`` rows a query at
     most. Queries within ``BROADCAST_VALUES`` numbers are broadcast; more are dealt in blocks that
-    meet blocks of vectors, one pass over either side.
+    meet blocks of vectors, one pass over either side. With ``k`` None it is a range search: all
+    rows within ``max_distance``, however many.
     """
     metric = parse_metric(metric)
-    if not per_query_k and k < 1:
+    if not per_query_k and k is None and max_distance is None:
+        raise InvalidParameter("a search without k needs max_distance")
+    if not per_query_k and k is not None and k < 1:
         raise InvalidParameter("k must be at least 1")
     vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and embedding is not null")
     wanted = queries.select("qid", F.col("k").cast("int").alias("k")) if per_query_k else None
@@ -73,8 +76,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "eucl
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
+            step = 256 if k is None else max(1, len(qids))  # a range search may find every row
             for batch in batches:
-                yield _local(metric, batch.column("id").to_numpy(), matrix(batch.column("embedding")), qids, q, k, max_distance)
+                for a in range(0, len(qids), step):
+                    yield _local(metric, batch.column("id").to_numpy(), matrix(batch.column("embedding")), qids[a : a + step], q[a : a + step], k, max_distance)
 
         return best_of(vectors.mapInArrow(run, RESULT), k, wanted)
     parts = -(-count // BLOCK)

@@ -179,7 +179,7 @@ def knn_single(spark, sf_dir):
 @query("knn_radius", _sql_knn("euclidean", PLAIN, "100000", "true", "distance <= 1.2"))
 def knn_radius(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return shown(knn(rows, asked(rows), 100_000, "euclidean", max_distance=1.2))
+    return shown(knn(rows, asked(rows), None, "euclidean", max_distance=1.2))
 
 
 @query("knn_varying_k", _sql_knn("euclidean", PLAIN, "1 + qid % 7"))

@@ -71,6 +71,27 @@ def test_knn_equals_brute_force_on_both_ways(spark, monkeypatch):
         knn(rows, asked, 0)
 
 
+def test_range_search_has_no_limit_of_rows(spark, monkeypatch, tmp_path):
+    rows, asked = synthetic(spark, 300, 7, 12, seed=3)
+    x = {r.id: np.array(r.embedding, float) for r in rows.collect()}
+    q = {r.qid: np.array(r.embedding, float) for r in asked.collect()}
+    want = {(k, i) for k, w in q.items() for i, v in x.items() if np.sqrt(((v - w) ** 2).sum()) <= 3}
+    from nearfield.operators import topk
+    from nearfield.plans import queries
+
+    assert {(r.qid, r.id) for r in knn(rows, asked, None, max_distance=3).collect()} == want and len(want) > 60
+    monkeypatch.setattr(topk, "BROADCAST_VALUES", 1)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    assert {(r.qid, r.id) for r in knn(rows, asked, None, max_distance=3).collect()} == want
+    with pytest.raises(errors.InvalidParameter):
+        knn(rows, asked, None)
+    monkeypatch.undo()
+    copies = spark.range(100_010).selectExpr("id as vec_id", "if(id < 100005, array(1f, 2f), array(9f, 9f)) as embedding", "0 as label")
+    copies.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(queries, "asked", lambda rows: rows.where("id = 0").selectExpr("id as qid", "embedding"))
+    assert queries.knn_radius(spark, str(tmp_path)).agg({"*": "count", "rank": "max"}).first()[:] == (100_005, 100_005)
+
+
 def test_brute_force_changes(spark):
     rows = spark.createDataFrame([(i, [float(i)] * 4) for i in range(10)], "id long, embedding array<float>")
     index = BruteForceIndex(rows)

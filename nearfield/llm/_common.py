@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Roller:
-    """Hashes of spans of a symbol sequence from one prefix sum, modulo 2**64."""
+class Picker:
+    """Cheap hashes of spans modulo 2**64, to choose among spans: some families of different long spans share one."""
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -115,8 +116,97 @@ class Roller:
         return mix64((prefix[width:] - prefix[:n]) * self._inverse[:n])
 
 
+PICK = Picker(11)
+
+#: Modulus of the rollers, a prime, and its bits.
+PRIME, BITS = (1 << 61) - 1, 61
+_P, _30, _31, _32 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1), np.uint64((1 << 32) - 1)
+#: Values worked on at once, so that what comes between stays in cache.
+_STEP = 1 << 14
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo ``PRIME``."""
+    x = (x & _P) + (x >> np.uint64(BITS))
+    return np.minimum(x, x - _P)  # wraps to a large value where x is below the prime
+
+
+def multiplied(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo ``PRIME`` of values below it."""
+    out = np.empty(len(a), np.uint64)
+    one = np.ndim(b) == 0
+    for i in range(0, len(a), _STEP):
+        x, y = a[i : i + _STEP], b if one else b[i : i + _STEP]
+        xh, xl, yh, yl = x >> np.uint64(31), x & _31, y >> np.uint64(31), y & _31
+        middle = xh * yl + xl * yh
+        out[i : i + _STEP] = _reduced((xh * yh << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _30) << np.uint64(31)) + xl * yl)
+    return out
+
+
+class Roller:
+    """Hashes of spans of a symbol sequence from one prefix sum: polynomials over the field of ``PRIME`` elements.
+
+    Two different sequences of at most ``n`` symbols share a hash with probability ``n / 2**61`` over the base.
+    """
+
+    def __init__(self, seed: int):
+        self.base = int(np.random.Generator(np.random.PCG64(seed)).integers(1 << 60, PRIME))
+        self._power = self._inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self._power) < n:
+            size = 1 << (n - 1).bit_length()
+
+            def powers(b: int) -> np.ndarray:
+                out = np.ones(1, np.uint64)
+                while len(out) < size:
+                    out = np.concatenate([out, multiplied(out, np.uint64(pow(b, len(out), PRIME)))])
+                return out
+
+            self._power, self._inverse = powers(self.base), powers(pow(self.base, -1, PRIME))
+
+    def prefix(self, symbols: np.ndarray) -> np.ndarray:
+        """Of symbols that are bytes, or values below 2**64 spread evenly."""
+        n = len(symbols)
+        self._grow(n + 1)
+        out = np.zeros(n + 1, np.uint64)
+        small, carry = symbols.dtype == np.uint8, np.uint64(0)
+        for i in range(0, n, _STEP):
+            power, x = self._power[i : min(i + _STEP, n)], symbols[i : i + _STEP].astype(np.uint64)
+            if small:
+                x += np.uint64(1)  # no byte counts as nothing
+                low, high = x * (power & _32), x * (power >> np.uint64(32))
+            else:
+                x = multiplied(_reduced(x), power)
+                low, high = x & _32, x >> np.uint64(32)
+            low, high = _reduced(np.cumsum(low, dtype=np.uint64)), _reduced(np.cumsum(high, dtype=np.uint64))
+            high = ((high << np.uint64(32)) & _P) + (high >> np.uint64(29))  # times 2**32
+            out[i + 1 : i + 1 + len(x)] = _reduced(low + high + carry)
+            carry = out[i + len(x)]
+        return out
+
+    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._shifted(prefix[end], prefix[start], self._inverse[start])
+
+    def rolling(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        n = max(0, len(prefix) - width)
+        return self._shifted(prefix[width:], prefix[:n], self._inverse[:n])
+
+    @staticmethod
+    def _shifted(high: np.ndarray, low: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return mix64(multiplied(_reduced(high + (_P - low)), inverse))
+
+
 ONE, TWO = Roller(11), Roller(29)
 
+
+def digests(raw: bytes, start: list[int], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of stretches of a buffer, 128 bits as two longs."""
+    out = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start, end, strict=True)])
+    pairs = np.frombuffer(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -145,8 +235,15 @@ def word_bounds(data: np.ndarray, at: np.ndarray, separator: np.ndarray, cut: np
     return starts, ends, np.searchsorted(starts, at)
 
 
+def byte_strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive stretches of a byte buffer as binary values."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, roller: Roller = ONE) -> np.ndarray:
-    return roller.spans(roller.prefix(roller.bytes[data]), starts, ends)
+    """Hashes of words; ``data`` are bytes."""
+    return roller.spans(roller.prefix(data), starts, ends)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import ONE, SPACE, TWO, Scratch, text_blocks, word_bounds, word_hashes
-from ._segments import Units, merged, repeated_spans
+from ._segments import TAG, Units, merged, repeated_spans
 
 
 def anchor_kernel(width: int):
@@ -81,7 +81,8 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, scratch: Scratch | N
     Words are the stretches between white space, unchanged. A word goes if a window of ``width``
     consecutive words that covers it also starts in a document with a smaller ``doc_id``; windows
     are judged on the input and never cross documents. A null text has no words. Rows with a null
-    id keep all their words and remove none elsewhere; rows that repeat an id share what is removed.
+    id keep all their words and remove none elsewhere; rows that repeat an id count as
+    documents of their own, none of them smaller than another.
     All columns of ``docs`` stay; ones named ``n_words``, ``n_removed`` or ``kept`` are replaced.
     An empty table gives an empty result.
     """
@@ -92,8 +93,8 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, scratch: Scratch | N
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = Units(words=True, width=width, gram=max(1, min(8, width // 2)))
     spans = repeated_spans(source, units, anchor_kernel(width), True, scratch, max_group)
-    spans = spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    same = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << TAG) - 1)) == F.col("__tag"))
+    joined = docs.join(spans.withColumnsRenamed({"doc": "__doc", "tag": "__tag", "spans": "__spans"}), same, "left").drop("__doc", "__tag")
     names = [f.name for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ONE, Scratch, mix64, text_blocks
-from ._segments import Units, merged, repeated_spans
+from ._common import PICK, Scratch, mix64, text_blocks
+from ._segments import TAG, Units, merged, repeated_spans
 
 #: Bytes of the grams that key segments: long enough that hardly any repeats by chance in a large corpus.
 GRAM = 48
@@ -167,8 +167,8 @@ def narrowed(key: np.ndarray, data: np.ndarray, at: np.ndarray, width: int, gram
     """
     block = max(1, min(16, width // 4))
     size = np.diff(at) - width + 1
-    prefix = ONE.prefix(ONE.bytes[data])
-    grams = ONE.rolling(prefix, gram)
+    prefix = PICK.prefix(PICK.bytes[data])
+    grams = PICK.rolling(prefix, gram)
     owner = np.repeat(np.arange(len(size)), np.diff(at))[: len(grams)]
     is_key = np.flatnonzero(grams == key.view(np.uint64)[owner])
     spot = is_key[np.searchsorted(is_key, at[:-1])] - at[:-1]
@@ -177,7 +177,7 @@ def narrowed(key: np.ndarray, data: np.ndarray, at: np.ndarray, width: int, gram
     seg = np.repeat(np.arange(len(size)), count)
     q = np.repeat(high, count) - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     start = at[seg] + spot[seg] - q * block
-    core = ONE.spans(prefix, start, start + width - block + 1) ^ mix64(q.astype(np.uint64))
+    core = PICK.spans(prefix, start, start + width - block + 1) ^ mix64(q.astype(np.uint64))
     first = np.maximum(spot[seg] - q * block - block + 1, 0)
     last = np.minimum(spot[seg] - q * block, size[seg] - 1)
     _, which, times = np.unique(core, return_inverse=True, return_counts=True)
@@ -232,8 +232,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200, scratch: Scratch |
 
     A byte goes if a string of ``width`` bytes that covers it also starts anywhere else, in the same
     document or another one; matches never cross documents and are judged on the input. A null
-    text counts as empty. Rows with a null id keep their text and are matched with nothing. If an
-    id is repeated, its rows share their spans. All columns of ``docs`` stay; ones named ``spans``
+    text counts as empty. Rows with a null id keep their text and are matched with nothing.
+    Rows that repeat an id count as documents of their own. All columns of ``docs`` stay; ones named ``spans``
     or ``kept`` are replaced. An empty table gives an empty result.
     """
     if width > 60_000:
@@ -243,7 +243,8 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200, scratch: Scratch |
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = Units(words=False, width=width, gram=max(1, min(GRAM, width // 2)))
     spans = repeated_spans(source, units, bwt_kernel(width, units.gram), False, scratch, max_group)
-    joined = docs.join(spans.withColumnRenamed("doc", "__doc"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    same = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << TAG) - 1)) == F.col("__tag"))
+    joined = docs.join(spans.withColumnsRenamed({"doc": "__doc", "tag": "__tag"}), same, "left").drop("__doc", "__tag")
     names = [f.name for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

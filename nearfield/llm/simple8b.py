@@ -11,9 +11,13 @@ null mark), ids per document, then a fixed trailer with the counts and the magic
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SPACE, TWO, Scratch, text_blocks, word_bounds, word_hashes
+from ._common import LOWER, SPACE, Scratch, byte_strings, text_blocks, word_bounds, word_hashes
 from ._files import AtomicFile, locate
 
 MAGIC = b"NFS8B1\0\0"
@@ -117,92 +121,181 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, escaped: np.ndarray)
     return out[:, :BLOCK].ravel()[:n]
 
 
-#: ASCII letters, and ASCII marks and digits that end a run of letters for any reader of the text.
-LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+#: ASCII letters, ASCII marks that end a run of letters for any reader of the text, and digits.
+LETTER, MARK, DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 MARK[1:128] = ~LETTER[1:128] & ~SPACE[1:128]
 MARK[[ord(c) for c in "'<|"]] = False
+DIGIT[48:58] = True
+#: Words of small Latin letters, which the normalizer and the split leave as they are; and what the byte level makes of their letters.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHIFTED = [b for b in range(256) if b not in _SHOWN]
+BYTE_LEVEL = {c: "".join(chr(b if b in _SHOWN else 0x100 + _SHIFTED.index(b)) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+#: What the tokenizer must do before its merges for texts to be encoded piece by piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _ramp(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` of each stretch, one after the other."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)
+
+
+class Memory:
+    """Ids of pieces in a hash table that never grows; equal hashes are told apart by the bytes of the pieces.
+
+    A piece whose hash another one has is not kept. With ``entries`` of them it takes about ``60 * entries`` bytes.
+    """
+
+    def __init__(self, entries: int):
+        self.entries, self.n = entries, 0
+        self.table = np.full(2 * entries, -1, np.int32)
+        self.hashes, self.at, self.start = np.zeros(entries, np.uint64), np.zeros(entries + 1, np.int32), np.zeros(entries + 1, np.int32)
+        self.text, self.ids = np.zeros(16 * entries, np.uint8), np.zeros(6 * entries, np.uint32)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each piece (bytes of ``data`` from ``at``), or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        spot, todo = (hashes % np.uint64(len(self.table))).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            entry = self.table[spot]
+            same = (entry >= 0) & (self.hashes[entry] == hashes[todo])
+            out[todo[same]] = entry[same]
+            go = (entry >= 0) & ~same
+            todo, spot = todo[go], (spot[go] + 1) % len(self.table)
+        hit = np.flatnonzero(out >= 0)
+        entry = out[hit]
+        equal = size[hit] == self.at[entry + 1] - self.at[entry]
+        out[hit[~equal]] = -1
+        hit, entry = hit[equal], entry[equal]
+        if len(hit):  # no piece is empty
+            differ = data[_ramp(at[hit], size[hit])] != self.text[_ramp(self.at[entry], size[hit])]
+            out[hit[np.logical_or.reduceat(differ, np.cumsum(size[hit]) - size[hit])]] = -1
+        return out
+
+    def coded(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries one after the other, and how many each has."""
+        size = (self.start[entry + 1] - self.start[entry]).astype(np.int64)
+        return self.ids[_ramp(self.start[entry].astype(np.int64), size)], size
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> bool:
+        """False, and nothing is kept, if there is no room."""
+        n, m, text, code = self.n, len(hashes), int(self.at[self.n]), int(self.start[self.n])
+        if n + m > self.entries or text + size.sum() > len(self.text) or code + len(ids) > len(self.ids):
+            return False
+        self.hashes[n : n + m] = hashes
+        self.at[n + 1 : n + m + 1] = text + np.cumsum(size)
+        self.start[n + 1 : n + m + 1] = code + np.cumsum(count)
+        self.text[text : self.at[n + m]] = data[_ramp(at, size)]
+        self.ids[code : code + len(ids)] = ids
+        self.n += m
+        spot, todo = (hashes % np.uint64(len(self.table))).astype(np.int64), np.arange(n, n + m)
+        while len(todo):
+            free = self.table[spot] < 0
+            self.table[spot[free]] = todo[free]
+            held = self.table[spot]
+            go = (held != todo) & (self.hashes[held] != self.hashes[todo])
+            todo, spot = todo[go], (spot[go] + 1) % len(self.table)
+        return True
 
 
 class Encoder:
     """Encodes texts piece by piece: the tokenizer sees each distinct piece once while it is remembered.
 
-    The tokenizer lower-cases, and never joins what ASCII white space or a change between an ASCII
-    letter and an ASCII mark or digit separates; apostrophes (contractions) and ``<|`` (special
-    tokens) keep their surroundings whole. So the ids of a text are those of its pieces in order.
-    The memory is emptied when it holds ``most`` pieces.
+    A tokenizer with ``NORMALIZER`` and ``SPLIT`` lower-cases, and never joins what ASCII white space, an end of an
+    ASCII digit or a change between an ASCII letter and an ASCII mark separates; apostrophes
+    (contractions) and ``<|`` (special tokens) keep their surroundings whole. So the ids of a text are those of its pieces in
+    order. Texts go whole to any other tokenizer. The memory has two halves of ``entries`` pieces: once the
+    young one is full, it becomes the old one, whose pieces are forgotten unless they come again.
     """
 
-    def __init__(self, path: str, end: int, most: int = 1_000_000):
+    def __init__(self, path: str, end: int, entries: int = 1 << 18):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end, most
-        mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self._clear()
-
-    def _clear(self) -> None:
-        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces one after the other, and how many each has."""
-        if self.mark is not None and not any("\0" in x for x in pieces):
-            parts = [np.array(self.tokenizer.encode(" \0 ".join(pieces[i : i + 5000]) + " \0", add_special_tokens=False).ids, np.uint32) for i in range(0, len(pieces), 5000)]
-            ids = np.concatenate(parts)
-            last = np.flatnonzero(ids == self.mark)
-            if len(last) == len(pieces):
-                return np.delete(ids, last), np.diff(last, prepend=-1) - 1
-        each = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        size = np.array([len(x) for x in each], np.int64)
-        return np.fromiter((i for x in each for i in x), np.uint32, int(size.sum())), size
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        flat, size = self._encoded(pieces)
-        start = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, flat])
-        spot = np.searchsorted(self.hashes, hashes)  # both are sorted
-        self.hashes, self.start, self.size = (np.insert(x, spot, y) for x, y in ((self.hashes, hashes), (self.start, start), (self.size, size)))
-
-    def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        letter, mark = LETTER[data], MARK[data]
+        self.tokenizer, self.end, self.entries = Tokenizer.from_file(path), end, entries
+        shape = json.loads(self.tokenizer.to_str())
+        steps = (shape.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        special = [t["content"] for t in shape["added_tokens"]]
+        self.piecewise = shape["normalizer"] == NORMALIZER and steps[0] == SPLIT and all(t.startswith("<|") for t in special)
+        self.merged = self.tokenizer.model.tokenize
+        self.young, self.old = Memory(entries), None
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encoded(self, piece: bytes) -> list[int]:
+        """Ids of a piece; plain words need nothing but the merges."""
+        text = piece.decode()
+        if not PLAIN.fullmatch(text):
+            return self._whole(text)
+        return [t.id for t in self.merged(text if text.isascii() else text.translate(BYTE_LEVEL))]
+
+    def _learned(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after the other, where those of each piece begin, and how many it has."""
+        at, size, hashes = at[:-1], np.diff(at), word_hashes(data, at[:-1], at[1:])
+        parts, start, count, had = [], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), 0
+        todo = np.arange(len(at))
+
+        def take(where: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            nonlocal had
+            parts.append(ids)
+            start[where], count[where] = had + np.cumsum(n) - n, n
+            had += len(ids)
+
+        again = todo[:0]
+        for memory in (self.young, self.old) if self.old else (self.young,):
+            entry = memory.find(hashes[todo], data, at[todo], size[todo])
+            again, todo, entry = todo[entry >= 0], todo[entry < 0], entry[entry >= 0]
+            take(again, *memory.coded(entry))
+        if len(todo):
+            raw = data.tobytes()
+            got = [self._encoded(raw[a:b]) for a, b in zip(at[todo].tolist(), (at[todo] + size[todo]).tolist(), strict=True)]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            take(todo, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n)
+        new, pool = np.concatenate([again, todo]) if self.old else todo, np.concatenate(parts)
+        for a in range(0, len(new), self.entries):
+            part = new[a : a + self.entries]
+            kept = hashes[part], data, at[part], size[part], pool[_ramp(start[part], count[part])], count[part]
+            if not self.young.add(*kept):
+                self.young, self.old = Memory(self.entries), self.young
+                self.young.add(*kept)
+        return pool, start, count
+
+    def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and their offsets by text."""
+        letter, mark, digit = LETTER[data], MARK[data], DIGIT[data]
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+        cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:] | digit[:-1] | digit[1:]
         starts, ends, own = word_bounds(data, at, SPACE, cut)
         low = LOWER[data]
-        h = word_hashes(low, starts, ends)
         special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
-        if len(special):  # a special token in capitals is none
-            low = low.copy()
-            odd = np.unique(np.searchsorted(starts, special, side="right") - 1)
-            for i in odd.tolist():
-                low[starts[i] : ends[i]] = data[starts[i] : ends[i]]
-            h[odd] = word_hashes(low, starts[odd], ends[odd], TWO)
-        return low, starts, ends, own, h
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        spot = np.searchsorted(self.hashes, h)
-        spot[spot == len(self.hashes)] = 0
-        return spot
+        for i in np.unique(np.searchsorted(starts, special, side="right") - 1).tolist():  # a special token in capitals is none
+            low[starts[i] : ends[i]] = data[starts[i] : ends[i]]
+        return byte_strings(low[~SPACE[data]], ends - starts), own
 
     def block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and their offsets."""
-        low, starts, ends, own, hashes = self._pieces(data, at)
-        h, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(h) > self.most:
-            self._clear()
-        new = np.flatnonzero(self.hashes[self._find(h)] != h) if len(self.hashes) else np.arange(len(h))
-        if len(new):
-            raw = low.tobytes()
-            self._learn(h[new], [raw[x:y].decode() for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        slot = self._find(h)[which] if len(h) else np.zeros(0, np.int64)
-        size = self.size[slot]
+        if self.piecewise:
+            pieces, own = self._pieces(data, at)
+            coded = pieces.dictionary_encode()
+            which, pieces = coded.indices.to_numpy(), coded.dictionary
+            spot = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+            pool, start, size = self._learned(np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: spot[-1]], spot)
+        else:
+            raw, own = data.tobytes(), np.arange(len(at))
+            got = [self._whole(raw[x:y].decode()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            which, size = own[:-1], np.fromiter(map(len, got), np.int64, len(got))
+            pool, start = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), np.cumsum(size) - size
+        size, start = size[which], start[which]
         total = np.concatenate([[0], np.cumsum(size)])
-        source = np.repeat(self.start[slot] - total[:-1], size) + np.arange(total[-1])
+        source = np.repeat(start - total[:-1], size) + np.arange(total[-1])
         texts = len(at) - 1
         out = np.full(total[-1] + texts, self.end, np.uint32)
         text = np.repeat(np.arange(texts), np.diff(total[own]))
-        out[np.arange(total[-1]) + text] = self.pool[source]
+        out[np.arange(total[-1]) + text] = pool[source]
         return out, total[own] + np.arange(texts + 1)
 
 
@@ -300,7 +393,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         uri, docs = f"{folder}/part-{part:06d}.s8b", 0
-        coder = encoder(tokenizer, end)
+        coder, pool = encoder(tokenizer, end), pa.default_memory_pool()
         with AtomicFile(uri) as file:
             writer = Writer(file)
             for batch in batches:
@@ -308,6 +401,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) ->
                     ids, own = coder.block(data, at)
                     writer.add(piece.column("doc_id"), ids, np.diff(own))
                     docs += piece.num_rows
+                    pool.release_unused()  # or it keeps the most that any block took
             n = writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), pa.array([n], pa.int64()), pa.array([docs], pa.int64())], ["part", "uri", "n_ids", "n_docs"])
 

@@ -34,9 +34,11 @@ def payload_digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit has no block but keeps the digest and length of its payload."""
+    """One WARC/1.1 record of an HTTP response; a revisit has the head of the response, whose length is the payload's, and no payload."""
     revisit = refers_to is not None
-    block = b"" if revisit else payload
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    if not revisit:
+        block += payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -44,9 +46,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
-        f"WARC-Payload-Length: {len(payload)}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to)}>"] if revisit else []),
-        "Content-Type: text/html",
+        "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -67,6 +68,13 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4 + len(block) + 4
 
 
+def http_response(block: bytes) -> tuple[int, bytes]:
+    """Length of the payload as the head gives it, and the payload there is."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    _, *lines = head.decode().split("\r\n")
+    return int(dict(x.split(": ", 1) for x in lines)["Content-Length"]), payload
+
+
 class Bundle:
     """Writes frames of about ``FRAME_BYTES`` plain bytes and the seek table."""
 
@@ -117,12 +125,17 @@ class Seekable:
         return parse(self.frame(frame), at)[:2]
 
 
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Pages with what their payload is known by."""
+    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"), F.octet_length(payload).alias("bytes"))
+
+
 def references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, refers_to`` of the pages whose payload an earlier page (a smaller id) has; copies never meet in a group."""
-    source = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = source.where(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.octet_length("html").alias("size"))
-    first = keyed.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    return keyed.join(first, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    """``page_id, digest, bytes, refers_to`` of the payloads of pages that an earlier page (a smaller id) has; copies never meet in a group."""
+    keyed = _keyed(pages).where("page_id is not null").where(F.col("bytes") >= least_bytes).select("page_id", "digest", "bytes")
+    first = keyed.groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    return keyed.join(first, ["digest", "bytes"]).where("page_id <> refers_to").select("page_id", "digest", "bytes", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, level: int = 3) -> DataFrame:
@@ -142,19 +155,19 @@ def write_warc(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z"
             for batch in batches:
                 for r in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
                     page, url, html, refers = (x.as_py() for x in r)
-                    data = record(page, url, (html or "").encode(), refers, date)
+                    data = record(page, url, html.encode(), refers, date)
                     frame, at = bundle.add(data)
                     rows.append({"part": part, "uri": uri, "record_id": record_id(page), "frame": frame, "at": at, "size": len(data)})
                 if rows:
                     yield index()
             bundle.close()
 
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.join(references(pages, least_bytes), "page_id", "left").mapInArrow(run, INDEX)
+    source = _keyed(pages).join(references(pages, least_bytes), ["page_id", "digest", "bytes"], "left")
+    return source.select("page_id", "url", "html", "refers_to").mapInArrow(run, INDEX)
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """Every record of the bundles in column ``uri``: ids, type, digest, payload length and block."""
+    """Every record of the bundles in column ``uri``: ids, type, digest, payload length and payload (empty for a revisit)."""
 
     def number(x: str | None) -> int | None:
         tail = (x or "<>")[1:-1].rpartition(":")[2]
@@ -168,13 +181,14 @@ def read_warc(files: DataFrame) -> DataFrame:
                     data, at, rows = bundle.frame(k), 0, []
                     while at < len(data):
                         fields, block, at = parse(data, at)
+                        size, payload = http_response(block)
                         rows.append({
-                            "page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": int(fields["WARC-Payload-Length"]),
-                            "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "block": block,
+                            "page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size,
+                            "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload,
                         })
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
 
-    return files.select("uri").distinct().repartition("uri").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, block binary")
+    return files.select("uri").distinct().repartition("uri").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +196,8 @@ def archive(pages: DataFrame, least_bytes: int = 0, scratch: Scratch | None = No
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least ``least_bytes`` bytes the
     page with the smallest id is a response and the others revisit it; smaller ones and pages with a
-    null id are responses. A null url has no target header. Rows that repeat a page id with the
-    same payload give a record each. Further columns are ignored; an empty table gives none.
+    null id are responses. A null url has no target header. Rows that repeat a page id give a record
+    each: with a payload of its own each is a response, with equal ones all are what the page is. Further columns are ignored; an empty table gives none.
     """
     scratch = scratch or Scratch(pages.sparkSession)
     index = scratch.save(write_warc(pages, scratch.path("warc"), least_bytes=least_bytes), "index")

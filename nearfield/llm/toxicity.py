@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-Each sentence gets a logistic score from its words; a document's score is the noisy-or of its sentences,
-``1 - prod(1 - p)``. Weights are trained from document labels alone and then locate the offending
-sentences.
+Each sentence with a word that has a weight gets a logistic score from its words; others are no evidence and
+count for nothing, so length alone makes no document toxic. A document's score is the noisy-or of
+its sentences, ``1 - prod(1 - p)``. Weights are trained from document labels alone and then locate
+the offending sentences.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .decontaminate import SEPARATOR
 FEATURES = 1 << 18
 #: Labelled rows that training uses at most.
 SAMPLE_ROWS = 8000
+#: Bias that training starts from.
+START = -4.0
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[[ord(c) for c in ".!?\n"]] = True
 
@@ -40,8 +43,10 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sentence_scores(weights: np.ndarray, bias: float, feature: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(weights[feature].astype(np.float64))])
-    return bias + total[begin[1:]] - total[begin[:-1]]
+    """Log odds of each sentence; minus infinity without a word that has a weight."""
+    own = weights[feature].astype(np.float64)
+    total, known = (np.concatenate([[0], np.cumsum(x)]) for x in (own, own != 0))
+    return np.where(known[begin[1:]] > known[begin[:-1]], bias + total[begin[1:]] - total[begin[:-1]], -np.inf)
 
 
 def noisy_or(z: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
@@ -58,33 +63,42 @@ def _ratio(hot: np.ndarray, has: np.ndarray, positive: float, n: float) -> np.nd
     return out
 
 
-def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.25, decay: float = 2e-4, least: float = 25.0) -> tuple[np.ndarray, float]:
+def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.25, decay: float = 2e-4, least: float = 25.0, weak: float = 0.02) -> tuple[np.ndarray, float]:
     """Weights and bias from ``(label, features, sentence of each word)``.
 
     Only words that toxic documents have more often, with a likelihood ratio (G) of at least ``least``, get a
-    weight: rare words would otherwise be learned by heart to explain noisy labels.
+    weight: rare words would otherwise be learned by heart to explain noisy labels. Those that alone give
+    a sentence less than ``weak`` are dropped, since a long text has many, and the rest is fitted anew.
     """
-    weights, bias = np.zeros(FEATURES), -4.0
+    weights = np.zeros(FEATURES)
     if not docs:
-        return weights.astype(np.float32), bias
+        return weights.astype(np.float32), START
     y = np.array([d[0] for d in docs], np.float64)
-    counts = np.array([int(d[2].max(initial=-1)) + 1 for d in docs])
-    offset = np.concatenate([[0], np.cumsum(counts)])
     has, hot = np.zeros(FEATURES), np.zeros(FEATURES)
     for label, words, _ in docs:
         own = np.unique(words)
         has[own] += 1
         hot[own] += label
     used = (hot * len(y) > has * y.sum()) & (_ratio(hot, has, y.sum(), len(y)) >= least)
-    on = [used[d[1]] for d in docs]  # from here only the few words that count are in memory
-    kept, slot = np.unique(np.concatenate([d[1][m] for d, m in zip(docs, on, strict=True)]), return_inverse=True)
-    sentence = np.concatenate([d[2][m] + o for d, m, o in zip(docs, on, offset[:-1], strict=True)])
-    text = np.repeat(np.arange(len(docs)), counts)
+    docs = [(d[1][m], d[2][m]) for d in docs for m in [used[d[1]]]]  # from here only the few words that count are in memory
+    weights, bias = _solve(docs, y, rounds, rate, decay)
+    used &= bias + weights >= np.log(weak / (1 - weak))
+    if used.any():
+        weights, bias = _solve([(f[m], s[m]) for f, s in docs for m in [used[f]]], y, rounds, rate, decay)
+    return weights.astype(np.float32), bias
+
+
+def _solve(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Gradient steps (with momentum) on the likelihood of the labels under noisy-or; decay pulls weights to zero."""
+    kept, slot = np.unique(np.concatenate([f for f, _ in docs]), return_inverse=True)
+    offset = np.concatenate([[0], np.cumsum([int(s.max(initial=-1)) + 1 for _, s in docs])])
+    used_in, sentence = np.unique(np.concatenate([s + o for (_, s), o in zip(docs, offset[:-1], strict=True)]), return_inverse=True)
+    text = np.searchsorted(offset, used_in, side="right") - 1
     w = np.zeros(len(kept) + 1)
-    w[-1] = bias
+    w[-1] = START
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = w[-1] + np.bincount(sentence, weights=w[slot], minlength=offset[-1])
+        z = w[-1] + np.bincount(sentence, weights=w[slot], minlength=len(text))
         s = np.exp(-np.logaddexp(0, -z))
         p = np.clip(noisy_or(z, text, len(docs)), 1e-9, 1 - 1e-9)
         g = s * np.where(y > 0, -(1 - p) / p, 1.0)[text]
@@ -93,8 +107,9 @@ def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate:
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-5)
+    weights = np.zeros(FEATURES)
     weights[kept] = w[:-1]
-    return weights.astype(np.float32), float(w[-1])
+    return weights, float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:

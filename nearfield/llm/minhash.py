@@ -27,6 +27,8 @@ REGISTERS, BANDS, BASE, RATE = 320, 40, 1.1, 20.0
 DRAWS, MOST_DRAWS = 1 << 14, 64
 #: At least four standard deviations of the estimate (0.02 at 0.85) below the threshold.
 SLACK = 0.08
+#: Shingles of a shard, so that a block's texts (a few bytes a shingle) stay small whatever the documents' lengths.
+SHARD_SHINGLES = 500_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,18 +207,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _grid(rest: DataFrame, shard: int) -> DataFrame:
-    """``rest(bucket, doc_id, component_id)`` dealt to blocks ``(i, j)``, pairs of shards of at most ``shard`` members on average.
+def _grid(rest: DataFrame, shard: int, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """``rest(bucket, doc_id, component_id, n_shingles)`` dealt to blocks ``(i, j)``, pairs of shards of at most ``shard`` members and ``shard_shingles`` shingles on average.
 
     The shards of a bucket's largest component come first and meet only those of the other members: pairs
     inside it are joined already. So a huge component with a few strangers costs rows in proportion to
     its size, and what is quadratic is the number of members outside it. A bucket that fits in one shard is one block.
     """
-    parts = rest.groupBy("bucket", "component_id").agg(F.count("*").alias("n"))
-    size = parts.groupBy("bucket").agg(F.max(F.struct("n", "component_id")).alias("top"), F.sum("n").alias("total"))
-    shards = lambda n: F.ceil(n / F.lit(shard)).cast("int")
-    apart = F.when(F.col("total") > shard, F.col("top.n")).otherwise(0)
-    size = size.select("bucket", F.when(apart > 0, F.col("top.component_id")).alias("main"), shards(apart).alias("g"), shards(F.col("total") - apart).alias("r"))
+    parts = rest.groupBy("bucket", "component_id").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    size = parts.groupBy("bucket").agg(F.max(F.struct("n", "component_id", "s")).alias("top"), F.sum("n").alias("total"), F.sum("s").alias("shingles"))
+    shards = lambda n, s: F.ceil(F.greatest(n / F.lit(shard), s / F.lit(shard_shingles))).cast("int")
+    several = shards(F.col("total"), F.col("shingles")) > 1
+    apart, there = F.when(several, F.col("top.n")).otherwise(0), F.when(several, F.col("top.s")).otherwise(0)
+    size = size.select("bucket", F.when(several, F.col("top.component_id")).alias("main"), shards(apart, there).alias("g"), shards(F.col("total") - apart, F.col("shingles") - there).alias("r"))
     inside, deal = F.col("component_id").eqNullSafe(F.col("main")), lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.col(n), F.lit(1))).cast("int")
     own = F.when(inside, deal("g")).otherwise(F.col("g") + deal("r"))
     meets = F.explode(F.sequence(F.when(inside, F.col("g")).otherwise(F.lit(0)), F.col("g") + F.col("r") - 1))
@@ -224,43 +227,68 @@ def _grid(rest: DataFrame, shard: int) -> DataFrame:
     return dealt.select("bucket", "doc_id", "component_id", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
 
 
-def _links_across(members: DataFrame, least: float, words: int, percent: int, bands: int) -> DataFrame:
-    """Verified links between different components inside each block of a bucket; nothing else leaves the block.
+MEMBER = ["doc_id", "component_id", "own", "n_shingles", "registers"]
+BLOCK = "bucket long, i int, j int"
+
+
+class _Block:
+    """Two shards of a bucket, and the pairs across components that are worth verifying.
 
-    A pair is tried only in the bucket of the first band where its sketches agree, and no longer once the
-    block has joined its components.
+    A pair is tried only in the bucket of the first band where its sketches agree.
     """
-    rows = REGISTERS // bands
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, i, j = (k.as_py() for k in key)
-        table = table.combine_chunks()
-        ids, comp, n, own = (table.column(c).to_numpy().copy() for c in ("doc_id", "component_id", "n_shingles", "own"))
-        regs = _registers(table.column("registers").combine_chunks())
-        band = int(np.flatnonzero(_bucket_hashes(regs[:1], bands)[0].view(np.int64) == bucket)[0])
-        h, at = None, None
-        a, b = [], []
-        right = own == j
-        for x in np.flatnonzero(own == i):
-            there = np.flatnonzero(right & (comp != comp[x]) & (np.minimum(n, n[x]) >= least * np.maximum(n, n[x])) & ((ids > ids[x]) if i == j else True))
+    def __init__(self, key: tuple, table: pa.Table, least: float, bands: int):
+        bucket, self.i, self.j = (k.as_py() for k in key)
+        self.ids, self.comp, self.own, self.n = (table.column(c).to_numpy().copy() for c in MEMBER[:4])
+        self.regs, self.least, self.rows = _registers(table.column("registers").combine_chunks()), least, REGISTERS // bands
+        self.band = int(np.flatnonzero(_bucket_hashes(self.regs[:1], bands)[0].view(np.int64) == bucket)[0])
+
+    def likely(self) -> Iterator[tuple[int, list[int]]]:
+        """For each member, those of other components (as they are by then) that it is likely to be linked with."""
+        right, least, n, regs, comp = self.own == self.j, self.least, self.n, self.regs, self.comp
+        for x in np.flatnonzero(self.own == self.i).tolist():
+            there = np.flatnonzero(right & (comp != comp[x]) & (np.minimum(n, n[x]) >= least * np.maximum(n, n[x])) & ((self.ids > self.ids[x]) if self.i == self.j else True))
             if not len(there):
                 continue
             r = regs[there]
             same = (regs[x] == r).sum(axis=1) >= (least - 0.1) * REGISTERS  # registers agree at least as often as shingles do
             there, r = there[same], r[same]
             if len(there):
-                earlier = (regs[x] == r)[:, : band * rows].reshape(len(r), band, rows).all(axis=2).any(axis=1)
+                earlier = (regs[x] == r)[:, : self.band * self.rows].reshape(len(r), self.band, self.rows).all(axis=2).any(axis=1)
                 there, r = there[~earlier], r[~earlier]
-            if not len(there):
-                continue
-            guess = estimate((regs[x] > r).sum(axis=1), (regs[x] < r).sum(axis=1), np.full(len(there), float(n[x])), n[there].astype(float))
-            for y in there[guess >= least].tolist():
+            if len(there):
+                guess = estimate((regs[x] > r).sum(axis=1), (regs[x] < r).sum(axis=1), np.full(len(there), float(n[x])), n[there].astype(float))
+                yield x, there[guess >= least].tolist()
+
+
+def _tempted(dealt: DataFrame, least: float, bands: int) -> DataFrame:
+    """The members of each block that have a likely partner in it; no text is needed to tell."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block, some = _Block(key, table, least, bands), set()
+        for x, there in block.likely():
+            some.update(there, [x] if there else [])
+        return table.take(pa.array(sorted(some), pa.int64()))
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, f"{BLOCK}, doc_id long, component_id long, own int, n_shingles long, registers binary")
+
+
+def _links_across(members: DataFrame, least: float, words: int, percent: int, bands: int) -> DataFrame:
+    """Verified links between different components inside each block; a pair is not tried once the block has joined its components."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block = _Block(key, table, least, bands)
+        sets: list[np.ndarray] = []
+        for batch in table.select(["text"]).to_batches():
+            for _, data, at in text_blocks(batch, "text"):
+                h, own = shingle_sets(data, at, words)
+                sets += [h[x:y] for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+        ids, comp, n, a, b = block.ids, block.comp, block.n, [], []
+        for x, there in block.likely():
+            for y in there:
                 if comp[y] == comp[x]:
                     continue
-                if h is None:
-                    (_, data, offsets), = text_blocks(table.select(["text"]).to_batches()[0], "text", 1 << 60)
-                    h, at = shingle_sets(data, offsets, words)
-                both = len(np.intersect1d(h[at[x] : at[x + 1]], h[at[y] : at[y + 1]], assume_unique=True))
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if 100 * both >= percent * (n[x] + n[y] - both):
                     a.append(max(ids[x], ids[y]))
                     b.append(min(ids[x], ids[y]))
@@ -282,7 +310,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
 
     Equal sets are one class (one representative each). Candidates of a bucket are its members with
     the bucket's smallest id; only where that leaves a bucket with several components are the
-    remaining pairs across components tried and verified in a grid of bounded blocks. ``bands`` share the
+    remaining pairs across components tried in a grid of bounded blocks; texts are fetched only for
+    members with a likely partner. ``bands`` share the
     registers in equal runs; a lower ``percent`` needs more of them to miss as little.
     """
     scratch = scratch or Scratch(docs.sparkSession)
@@ -308,8 +337,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
     mixed = label.groupBy("bucket").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x <> y").select("bucket")
     rest = scratch.save(label.join(mixed, "bucket", "left_semi"), "rest")
     if rest.limit(1).count():
-        dealt = _grid(rest, shard).join(sets, "doc_id").join(source, "doc_id")
-        more = scratch.save(_links_across(dealt, least, words, percent, bands), "links-2")
+        dealt = _grid(rest.join(sets.select("doc_id", "n_shingles"), "doc_id"), shard).join(sets, "doc_id")
+        tempted = scratch.save(_tempted(dealt.select("bucket", "i", "j", *MEMBER), least, bands), "tempted")
+        more = scratch.save(_links_across(tempted.join(source, "doc_id"), least, words, percent, bands), "links-2")
         links = links.union(more)
         found = scratch.save(components(links, scratch, "all"), "all")
     of_class = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", F.coalesce("component_id", "class_id").alias("component_id"))

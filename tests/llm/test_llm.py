@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,14 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "k", 1, "s", 2) for i, t in rows], SCHEMA)
 
 
+def thue_morse(a="a", b="b", n=1024):
+    """Two words that any polynomial hash modulo a power of two confuses."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
 def digest(rows, key="doc_id"):
     return {r[key]: r for r in rows.collect()}
 
@@ -72,9 +81,37 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.kept) for r in got) == [(-1, True), (3, True), (3, True)]
 
 
+def test_words_that_weak_hashes_confuse(spark):
+    x, y = thue_morse()
+    got = digest(minhash.near_duplicates(frame(spark, [(1, x), (2, y)])))
+    assert [got[i].component_id for i in (1, 2)] == [1, 2]
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*words[:30], x, *words[30:]])), (2, " ".join([*words[:30], y, *words[30:]]))]
+    assert digest(substring.remove_repeated_words(frame(spark, rows)))[2].n_removed == 0
+    rows = [(1, ("p" * 30).join([x, x])), (2, ("p" * 30).join([y, y]))]
+    for width in (200, 1100):
+        seen = Counter(t[i : i + width] for _, t in rows for i in range(len(t) - width + 1))
+        for r in suffix_array.remove_repeated_bytes(frame(spark, rows), width).collect():
+            gone = {k for i in range(len(r.text) - width + 1) if seen[r.text[i : i + width]] > 1 for k in range(i, i + width)}
+            assert sum(s.e - s.o for s in r.spans) == len(gone)
+    coder, plain = simple8b.Encoder(tokenizer_path(), 2), simple8b.Encoder(tokenizer_path(), 2)
+    for t in (x, y):
+        ids, _ = coder.block(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert ids.tolist() == plain.tokenizer.encode(t, add_special_tokens=False).ids + [2]
+
+
+def test_removal_from_rows_that_repeat_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, a), (2, f"{b} x {a}"), (2, f"y {a}"), (2, f"y {a}"), (3, b)]
+    got = sorted((r.doc_id, r.text, r.kept) for r in substring.remove_repeated_words(frame(spark, rows)).collect())
+    assert got == sorted([(1, a, a), (2, f"{b} x {a}", f"{b} x"), (2, f"y {a}", "y"), (2, f"y {a}", "y"), (3, b, "")])
+    got = sorted((r.doc_id, r.text, bytes(r.kept).decode()) for r in suffix_array.remove_repeated_bytes(frame(spark, [(1, a), (2, f"{b} x {b}"), (2, f"y {a}"), (3, "z" * 300)])).collect())
+    assert got == [(1, a, ""), (2, f"{b} x {b}", " x "), (2, f"y {a}", "y "), (3, "z" * 300, "")]
+
+
 def test_blocks_hold_each_pair_across_components_once(spark):
     members = [(1, i, 0) for i in range(40)] + [(1, 100, 100)] + [(2, i, i % 3) for i in range(20)]
-    rows = minhash._grid(spark.createDataFrame(members, "bucket long, doc_id long, component_id long"), 4).collect()
+    rows = minhash._grid(spark.createDataFrame(members, "bucket long, doc_id long, component_id long").selectExpr("*", "1L as n_shingles"), 4).collect()
     assert sum(r.bucket == 1 for r in rows) == 40 + 11  # linear with one stranger
     cells, met = {}, Counter()
     for r in rows:
@@ -148,14 +185,18 @@ def test_simple8b_round_trip(ids):
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
-    plain, coder, rng = Tokenizer.from_file(tokenizer_path()), simple8b.Encoder(tokenizer_path(), 2, most=200), random.Random(1)
-    parts = ["a", "B", "s", "t", "'", "re", "*", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "1", " ", "\n", "é", "é", "Σ", "ς", "…", "中", "́", "İ", "\0", "\x1c", " ", "　", "_", "😀", "K"]
+    plain, coder, rng = Tokenizer.from_file(tokenizer_path()), simple8b.Encoder(tokenizer_path(), 2, entries=200), random.Random(1)
+    parts = ["a", "B", "s", "t", "'", "re", "*", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "27", "ß", "ÿ", "à", "º", " ", "\n", "é", "é", "Σ", "ς", "…", "中", "́", "İ", "\0", "\x1c", " ", "　", "_", "😀", "K"]
+    whole = simple8b.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert coder.piecewise and not whole.piecewise
     for _ in range(60):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(20)]
         raw = [x.encode() for x in texts]
         ids, at = coder.block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
         for k, x in enumerate(texts):
             assert ids[at[k] : at[k + 1]].tolist() == plain.encode(x, add_special_tokens=False).ids + [2]
+        ids, at = whole.block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        assert ids[at[3] : at[4]].tolist() == whole.tokenizer.encode(texts[3], add_special_tokens=False).ids + [2]
 
 
 def test_token_files(spark):
@@ -212,11 +253,15 @@ def test_warc(spark):
         raw = (t or "").encode()
         refers = {3: 1, 6: 1, 5: 2}.get(i)
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if refers else "response", refers)
-        assert bytes(got[i].block) == (b"" if refers else raw)
+        assert bytes(got[i].payload) == (b"" if refers else raw)
     row = index.where("record_id = 'urn:page:4'").first()
-    assert warc.Seekable(row.uri).record(row.frame, row.at)[1] == ("ü" * 3000).encode()
+    fields, block = warc.Seekable(row.uri).record(row.frame, row.at)
+    assert fields["Content-Type"] == "application/http; msgtype=response" and warc.http_response(block) == (6000, ("ü" * 3000).encode())
     assert warc.archive(df.limit(0))[0].count() == 0
     assert warc.references(df, 2).count() == 0
+    again = spark.createDataFrame([(i, "u", t) for i, t in [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (5, "C"), (5, "C"), (7, "C")]], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, bytes(r.payload)) for r in warc.archive(again)[0].collect())
+    assert got == [(1, "response", 0, b"A"), (2, "response", 0, b"B"), (5, "response", 0, b"C"), (5, "response", 0, b"C"), (5, "revisit", 1, b""), (5, "revisit", 2, b""), (7, "revisit", 5, b"")]
 
 
 def test_nearest_neighbours(spark):
@@ -266,6 +311,18 @@ def test_toxicity(spark):
     model = toxicity.train(frame(spark, rows), marks)
     one = toxicity.score(frame(spark, [(1, "ax bx. you idiot cx. by")]), model).first()
     assert [("ax bx. you idiot cx. by"[s.o : s.e]) for s in one.offending] == ["you idiot cx"] and one.items == 2
+    rng = random.Random(1)
+    long = [". ".join(" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(8)) for _ in range(20_000)), ". ".join(["quite other words"] * 20_000)]
+    assert all(r.score < 0.5 for r in toxicity.score(frame(spark, list(enumerate(long))), model).collect())
+    hidden = toxicity.score(frame(spark, [(1, f"{long[0]}. you idiot cx. {long[0]}")]), model).first()
+    assert hidden.score >= 0.5 and "you idiot cx" in [hidden.text[s.o : s.e] for s in hidden.offending]
+    for r in toxicity.score(frame(spark, rows[:40]), model).collect():  # noisy-or as its definition has it
+        left = 1.0
+        for line in re.split(r"[.!?\n]", r.text):
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.translate(LOW))
+            z = [float(model[0][f]) for x in w for f in toxicity.sentences(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0]]
+            left *= 1 - 1 / (1 + np.exp(-(model[1] + sum(z)))) if any(z) else 1
+        assert abs(r.score - (1 - left)) < 1e-9
     assert toxicity.toxicity(frame(spark, []), marks).count() == 0
     assert toxicity.toxicity(frame(spark, rows), marks.limit(0)).where("predicted = 1").count() == 0
 

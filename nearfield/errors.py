@@ -54,3 +54,36 @@ class AlreadyExists(VectorError): ...
 
 
 class InvalidConfig(VectorError, ValueError): ...
+
+
+class IndexNotBuilt(VectorError): ...
+
+
+class VectorNotFound(NotFound): ...
+
+
+class StorageError(VectorError, OSError): ...
+
+
+class SerializationError(VectorError): ...
+
+
+class MetadataTypeMismatch(VectorError):
+    def __init__(self, name: str, expected: str, actual: str):
+        super().__init__(f"field {name!r} is {actual}, not {expected}")
+        self.name, self.expected, self.actual = name, expected, actual
+
+
+class MetadataFieldNotFound(NotFound): ...
+
+
+class ConvergenceFailure(VectorError): ...
+
+
+class StaleIndex(VectorError): ...
+
+
+class InsufficientDiskSpace(StorageError):
+    def __init__(self, needed: int, free: int):
+        super().__init__(f"{needed} bytes needed, {free} free")
+        self.needed, self.free = needed, free

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,9 +68,9 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     return _COLUMN[parse_metric(metric)](a, b)
 
 
-def checked(a: Column, b: Column) -> Column:
-    """True, or an error in the task, for equal lengths."""
-    return F.assert_true(F.size(a) == F.size(b), F.lit("dimension mismatch"))
+def checked(metric: str, a: Column, b: Column) -> Column:
+    """:func:`distance`, or an error in the task for vectors of different lengths."""
+    return F.when(F.size(a) == F.size(b), distance(metric, a, b)).otherwise(F.raise_error(F.lit("dimension mismatch")))
 
 
 def distances(metric: str, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -111,11 +110,21 @@ def shortlist(metric: str, rows: np.ndarray, queries: np.ndarray, k: int) -> lis
     return [np.flatnonzero(s <= x) for s, x in zip(score, limit, strict=True)]
 
 
-def register(spark) -> None:
-    """SQL functions ``vec_l2``, ``vec_l2sq``, ``vec_cosine``, ``vec_dot`` and ``vec_l1`` on arrays (Arrow batches)."""
-    for name, metric in (("vec_l2", "euclidean"), ("vec_l2sq", "euclidean_squared"), ("vec_cosine", "cosine"), ("vec_dot", "dot"), ("vec_l1", "manhattan")):
+_SUM = "aggregate(zip_with(a, b, (x, y) -> {}), 0D, (s, x) -> s + x)"
+_SIZE = "sqrt(aggregate(a, 0D, (s, x) -> s + x * x) * aggregate(b, 0D, (s, x) -> s + x * x))"
+SQL_FUNCTIONS = {
+    "vec_l2": f"sqrt({_SUM.format('(x - y) * (x - y)')})",
+    "vec_l2sq": _SUM.format("(x - y) * (x - y)"),
+    "vec_cosine": f"if({_SIZE} = 0, 0D, 1 - {_SUM.format('x * y')} / {_SIZE})",
+    "vec_dot": f"-{_SUM.format('x * y')}",
+    "vec_l1": _SUM.format("abs(x - y)"),
+}
 
-        def run(a: pd.Series, b: pd.Series, metric: str = metric) -> pd.Series:
-            return pd.Series([float(distances(metric, np.asarray([x]), np.asarray(y))[0]) for x, y in zip(a, b, strict=True)])
 
-        spark.udf.register(name, F.pandas_udf(run, "double"))
+def register(spark) -> None:
+    """SQL functions ``vec_l2``, ``vec_l2sq``, ``vec_cosine``, ``vec_dot`` and ``vec_l1`` on arrays; SQL inlines their
+    expressions. Arrays of different lengths are an error.
+    """
+    for name, body in SQL_FUNCTIONS.items():
+        checked_body = f"if(size(a) <> size(b), raise_error('dimension mismatch'), {body})"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {checked_body}")

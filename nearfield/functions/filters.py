@@ -85,23 +85,30 @@ class Typed:
             if any(tag_of(x) != inner for x in value):
                 return F.lit(False)
             return c == F.array(*(F.lit(x) for x in value)).cast(self.types[name])
-        return (c == F.lit(value)) & _real(c, value)
+        return _also(c == F.lit(value), c, value)
 
-    def order(self, name: str, value: Any) -> tuple[Column, Column] | None:
+    def among(self, name: str, values: tuple) -> Column | None:
+        """One list of values, if all are plain: sources take it as a whole."""
+        plain = [x for x in values if name in self.types and self._tag(name) == tag_of(x) in ("string", "integer", "boolean")]
+        skipped = all(name not in self.types or self._tag(name) != tag_of(x) for x in values if not any(x is y for y in plain))
+        return self._column(name).isin(plain) if plain and skipped else None
+
+    def order(self, name: str, value: Any) -> tuple[Column, Column, Column | None] | None:
+        """Both sides of a comparison, and what else must hold."""
         tag = self._tag(name) if name in self.types else None
         mine = tag_of(value)
         if tag in ("integer", "float") and mine in ("integer", "float"):
             if tag == mine == "integer":
-                return self._column(name), F.lit(value)
-            c = self._column(name).cast("double")
-            return F.when(~F.isnan(c), c), F.lit(float(value))
-        return (self._column(name), F.lit(value)) if tag == mine and tag in ("string", "boolean") else None
+                return self._column(name), F.lit(value), None
+            c = self._column(name) if tag == "float" else self._column(name).cast("double")
+            return c, F.lit(float(value)), ~F.isnan(c) if tag == "float" else None
+        return (self._column(name), F.lit(value), None) if tag == mine and tag in ("string", "boolean") else None
 
     def contains(self, name: str, value: Any) -> Column:
         kind = self.types.get(name)
         if not isinstance(kind, T.ArrayType) or value is None or self._tag(name, kind.elementType) != tag_of(value):
             return F.lit(False)
-        return F.exists(self._column(name), lambda x: (x == F.lit(value)) & _real(x, value))
+        return F.exists(self._column(name), lambda x: _also(x == F.lit(value), x, value))
 
     def starts(self, name: str, prefix: str) -> Column:
         return self._column(name).startswith(prefix) if self._tag(name) == "string" else F.lit(False)
@@ -131,20 +138,23 @@ class Tagged:
         if tag == "array":
             items = v["a"]
             return reduce(lambda a, b: a & b, (self._same(F.get(items, F.lit(i)), x) for i, x in enumerate(value)), (v["tag"] == tag) & (F.size(items) == len(value)))
-        return (v["tag"] == tag) & (v[self.SLOT[tag]] == F.lit(value)) & _real(v[self.SLOT[tag]], value)
+        return (v["tag"] == tag) & _also(v[self.SLOT[tag]] == F.lit(value), v[self.SLOT[tag]], value)
 
     def equals(self, name: str, value: Any) -> Column:
         return self._same(self._value(name), value)
 
-    def order(self, name: str, value: Any) -> tuple[Column, Column] | None:
+    def among(self, name: str, values: tuple) -> Column | None:
+        return None
+
+    def order(self, name: str, value: Any) -> tuple[Column, Column, Column | None] | None:
         v, tag = self._value(name), tag_of(value)
         if tag == "integer":
             # the wider type only where the field is a float
             exact = F.when(v["tag"] == "integer", v["i"].cast("decimal(38,6)")).when((v["tag"] == "float") & ~F.isnan(v["d"]), v["d"].try_cast("decimal(38,6)"))
-            return exact, F.lit(value).cast("decimal(38,6)")
+            return exact, F.lit(value).cast("decimal(38,6)"), None
         if tag == "float":
-            return F.when(v["tag"] == "integer", v["i"].cast("double")).when((v["tag"] == "float") & ~F.isnan(v["d"]), v["d"]), F.lit(value)
-        return (F.when(v["tag"] == tag, v[self.SLOT[tag]]), F.lit(value)) if tag in ("string", "boolean") else None
+            return F.when(v["tag"] == "integer", v["i"].cast("double")).when((v["tag"] == "float") & ~F.isnan(v["d"]), v["d"]), F.lit(value), None
+        return (F.when(v["tag"] == tag, v[self.SLOT[tag]]), F.lit(value), None) if tag in ("string", "boolean") else None
 
     def contains(self, name: str, value: Any) -> Column:
         return F.exists(self._value(name)["a"], lambda x: F.coalesce(self._same(x, value), F.lit(False))) if tag_of(value) != "array" else F.lit(False)
@@ -154,9 +164,11 @@ class Tagged:
         return (v["tag"] == "string") & v["s"].startswith(prefix)
 
 
-def _real(c: Column, value: Any) -> Column:
+def _also(same: Column, c: Column, value: Any) -> Column:
     """Excludes NaN, which equals nothing."""
-    return ~F.isnan(c) & F.lit(value == value) if isinstance(value, float) else F.lit(True)
+    if not isinstance(value, float):
+        return same
+    return same & ~F.isnan(c) if value == value else F.lit(False)
 
 
 @dataclass(frozen=True)
@@ -177,23 +189,28 @@ class Condition:
     def __invert__(self) -> Condition:
         return negate(self)
 
-    def compile(self, fields: Typed | Tagged) -> Column:
+    def compile(self, fields: Typed | Tagged, negated: bool = False) -> Column:
+        """For ``where``: null, which drops a row as false does, is left as it is but below a negation, so sources can
+        take the comparison as a pushed filter.
+        """
         false, true = F.lit(False), F.lit(True)
-        closed = lambda c, default=false: F.coalesce(c, default)
+        closed = lambda c: F.coalesce(c, false) if negated else c
         op, name, value = self.op, self.name, self.value
         if op == "and":
-            return reduce(lambda a, b: a & b, (p.compile(fields) for p in self.parts), true)
+            return reduce(lambda a, b: a & b, (p.compile(fields, negated) for p in self.parts)) if self.parts else true
         if op == "or":
-            return reduce(lambda a, b: a | b, (p.compile(fields) for p in self.parts), false)
+            return reduce(lambda a, b: a | b, (p.compile(fields, negated) for p in self.parts)) if self.parts else false
         if op == "not":
-            return ~self.parts[0].compile(fields)
+            return ~self.parts[0].compile(fields, True)
         if op == "eq":
             return closed(fields.equals(name, value))
         if op == "ne":
-            return ~closed(fields.equals(name, value))
+            return ~F.coalesce(fields.equals(name, value), false)
         if op in ("in", "not_in"):
-            got = reduce(lambda a, b: a | b, (closed(fields.equals(name, x)) for x in value), false)
-            return ~got if op == "not_in" else got
+            got = fields.among(name, value)
+            if got is None:
+                got = reduce(lambda a, b: a | b, (F.coalesce(fields.equals(name, x), false) for x in value), false)
+            return ~F.coalesce(got, false) if op == "not_in" else closed(got)
         if op == "range":
             low, high, with_low, with_high = value
             return closed(_compare(fields, name, low, ">=" if with_low else ">")) & closed(_compare(fields, name, high, "<=" if with_high else "<"))
@@ -204,7 +221,7 @@ class Condition:
         if op == "exists":
             return closed(fields.exists(name))
         if op == "is_null":
-            return ~closed(fields.exists(name))
+            return ~F.coalesce(fields.exists(name), false)
         if op == "starts_with":
             return closed(fields.starts(name, value))
         raise InvalidParameter(f"unknown condition {op!r}")
@@ -235,8 +252,9 @@ def _compare(fields: Typed | Tagged, name: str, value: Any, op: str) -> Column:
     pair = fields.order(name, value) if value is not None and value == value else None
     if pair is None:
         return F.lit(False)
-    a, b = pair
-    return {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
+    a, b, also = pair
+    found = {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
+    return found if also is None or op in ("<", "<=") else found & also  # NaN sorts last
 
 
 def eq(name: str, value: Any) -> Condition:

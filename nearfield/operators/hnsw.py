@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +14,19 @@ from nearfield.errors import DimensionMismatch, InvalidParameter, NotSupported
 from nearfield.functions.distances import distances, parse_metric
 
 from .ivf import query_frame
-from .topk import best_of, matrix
+from .topk import BROADCAST_VALUES, RESULT, best_of, matrix
+
+#: Nodes of the highest levels that a search may begin at; the nearest to the query is taken.
+ENTRIES = 8
+SHARD = "shard int, n long, ids binary, vectors binary, first binary, offsets binary, links binary"
 
 
 class Graph:
-    """One graph in memory. Levels come from a hash of the id, so a build is reproducible."""
+    """One graph in memory. Levels come from a hash of the id, so a build is reproducible.
+
+    A finalized graph has its links in three arrays: the links of node ``i`` in a layer are
+    ``flat[offsets[first[i] + layer] : offsets[first[i] + layer + 1]]``.
+    """
 
     def __init__(self, m: int = 16, ef_construction: int = 200, metric: str = "euclidean", seed: int = 0):
         if m < 2:
@@ -30,12 +37,57 @@ class Graph:
         self.ids: list[int] = []
         self.rows: np.ndarray | None = None
         self.links: list[list[list[int]]] = []
+        self.arrays: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.top: int | None = None
+        self.entries: list[int] = []
 
     def level(self, id: int) -> int:
         u = np.random.default_rng([self.seed, id & (1 << 63) - 1]).random()
         return int(-np.log(max(u, 1e-300)) / np.log(self.m))
 
+    def _near(self, node: int, layer: int) -> list[int]:
+        if self.arrays is None:
+            return self.links[node][layer]
+        first, offsets, flat = self.arrays
+        at = first[node] + layer
+        return flat[offsets[at] : offsets[at + 1]].tolist()
+
+    def _level_of(self, node: int) -> int:
+        return len(self.links[node]) - 1 if self.arrays is None else int(self.arrays[0][node + 1] - self.arrays[0][node]) - 1
+
+    def finalize(self) -> Graph:
+        """Links as arrays; adding turns them into lists again."""
+        if self.arrays is None:
+            first = np.concatenate([[0], np.cumsum([len(x) for x in self.links])]).astype(np.int64)
+            size = [len(layer) for x in self.links for layer in x]
+            flat = np.fromiter((n for x in self.links for layer in x for n in layer), np.int32, sum(size))
+            self.arrays, self.links = (first, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), flat), []
+            level = np.diff(first)
+            self.entries = np.lexsort((np.arange(len(level)), -level))[:ENTRIES].tolist()
+        return self
+
+    def is_finalized(self) -> bool:
+        return self.arrays is not None
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def row(self, shard: int) -> dict:
+        """What :meth:`of_row` reads: plain little-endian arrays."""
+        first, offsets, flat = self.finalize().arrays
+        return {"shard": shard, "n": len(self.ids), "ids": np.array(self.ids, "<i8").tobytes(), "vectors": self.rows.astype("<f8").tobytes(), "first": first.astype("<i8").tobytes(), "offsets": offsets.astype("<i8").tobytes(), "links": flat.astype("<i4").tobytes()}
+
+    @classmethod
+    def of_row(cls, row: dict, metric: str) -> Graph:
+        graph = cls(metric=metric)
+        graph.ids = np.frombuffer(row["ids"], "<i8").tolist()
+        graph.rows = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1) if row["n"] else np.zeros((0, 0))
+        graph.arrays = tuple(np.frombuffer(row[c], kind) for c, kind in (("first", "<i8"), ("offsets", "<i8"), ("links", "<i4")))
+        level = np.diff(graph.arrays[0])
+        graph.entries = np.lexsort((np.arange(len(level)), -level))[:ENTRIES].tolist()
+        graph.top = graph.entries[0] if graph.entries else None
+        return graph
+
     def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         return distances(self.metric, self.rows[nodes], q)
 
@@ -52,7 +104,7 @@ class Graph:
             x, node = heapq.heappop(open_)
             if len(best) >= ef and x > -best[0][0]:
                 break
-            fresh = [n for n in self.links[node][layer] if n not in seen]
+            fresh = [n for n in self._near(node, layer) if n not in seen]
             if not fresh:
                 continue
             seen.update(fresh)
@@ -65,8 +117,14 @@ class Graph:
         return sorted((-x, -n) for x, n in best)
 
     def build(self, ids: np.ndarray, rows: np.ndarray) -> Graph:
-        self.rows = np.asarray(rows, np.float64)
-        for i, id in enumerate(ids.tolist()):
+        if self.arrays is not None:  # adding goes on with lists
+            links = [[self._near(n, layer) for layer in range(self._level_of(n) + 1)] for n in range(len(self.ids))]
+            self.arrays, self.links = None, links
+        rows, had = np.asarray(rows, np.float64), len(self.ids)
+        if had and len(rows) and rows.shape[1] != self.rows.shape[1]:
+            raise DimensionMismatch(self.rows.shape[1], rows.shape[1])
+        self.rows = np.concatenate([self.rows, rows]) if had else rows
+        for i, id in enumerate(ids.tolist(), had):
             self._add(i, id)
         return self
 
@@ -99,8 +157,10 @@ class Graph:
         """``(distance, id)``, nearest first."""
         if self.top is None:
             return []
-        q, entry = np.asarray(query, np.float64), [self.top]
-        for layer in range(len(self.links[self.top]) - 1, 0, -1):
+        q = np.asarray(query, np.float64)
+        starts = self.entries or [self.top]
+        entry = [starts[int(self._far(q, starts).argmin())]]
+        for layer in range(self._level_of(entry[0]), 0, -1):
             entry = [self._beam(q, entry, 1, layer)[0][1]]
         return sorted((d, self.ids[n]) for d, n in self._beam(q, entry, max(ef, k), 0))[:k]
 
@@ -108,7 +168,7 @@ class Graph:
         """Nodes that the base layer reaches from the entry."""
         seen, todo = {self.top}, [self.top]
         while todo:
-            for n in self.links[todo.pop()][0]:
+            for n in self._near(todo.pop(), 0):
                 if n not in seen:
                     seen.add(n)
                     todo.append(n)
@@ -116,14 +176,18 @@ class Graph:
 
 
 class HnswIndex:
-    """``graphs(shard, graph)``; shards hold about ``shard_rows`` vectors each, so no task holds more."""
+    """``graphs``: a row of arrays for each shard of about ``shard_rows`` vectors, so no task holds more."""
 
-    def __init__(self, graphs: DataFrame, metric: str, dimension: int, ef_search: int):
-        self.graphs, self.metric, self.dimension, self.ef_search = graphs, metric, dimension, ef_search
+    def __init__(self, graphs: DataFrame, metric: str, dimension: int, ef_search: int, parameters: tuple[int, int, int, int] = (16, 200, 50_000, 0)):
+        self.graphs, self.metric, self.dimension, self.ef_search, self.parameters = graphs, metric, dimension, ef_search, parameters
 
     @classmethod
     def build(cls, vectors: DataFrame, m: int = 16, ef_construction: int = 200, metric: str = "euclidean", shard_rows: int = 50_000, seed: int = 0) -> HnswIndex:
         Graph(m, ef_construction, metric)
+        return cls(*cls._shards(vectors, m, ef_construction, metric, shard_rows, seed), ef_construction, (m, ef_construction, shard_rows, seed))
+
+    @staticmethod
+    def _shards(vectors: DataFrame, m: int, ef_construction: int, metric: str, shard_rows: int, seed: int) -> tuple[DataFrame, str, int]:
         n, low, high = vectors.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
         if low != high:
             raise DimensionMismatch(high, low)
@@ -133,20 +197,43 @@ class HnswIndex:
             order = np.argsort(table.column("id").to_numpy(), kind="stable")
             table = table.take(pa.array(order)).combine_chunks()
             graph = Graph(m, ef_construction, metric, seed).build(table.column("id").to_numpy(), matrix(table.column("embedding").combine_chunks()))
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "graph": pa.array([pickle.dumps(graph)], pa.binary())})
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            return pa.table({c: pa.array([x], kind) for (c, x), kind in zip(graph.row(key[0].as_py()).items(), kinds, strict=True)})
 
         rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"), "embedding")
-        return cls(rows.groupBy("shard").applyInArrow(run, "shard int, graph binary"), parse_metric(metric), high or 0, ef_construction)
+        return rows.groupBy("shard").applyInArrow(run, SHARD), parse_metric(metric), high or 0
+
+    def add(self, vectors: DataFrame) -> HnswIndex:
+        """With graphs of new vectors beside the old ones; ids may repeat."""
+        graphs, _, d = self._shards(vectors, *self.parameters[:2], self.metric, *self.parameters[2:])
+        if d and self.dimension and d != self.dimension:
+            raise DimensionMismatch(self.dimension, d)
+        return HnswIndex(self.graphs.union(graphs), self.metric, self.dimension or d, self.ef_search, self.parameters)
+
+    def count(self) -> int:
+        return self.graphs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def is_empty(self) -> bool:
+        return self.count() == 0
 
     def with_ef_search(self, ef: int) -> HnswIndex:
         if ef < 1:
             raise InvalidParameter("ef must be at least 1")
-        return HnswIndex(self.graphs, self.metric, self.dimension, ef)
+        return HnswIndex(self.graphs, self.metric, self.dimension, ef, self.parameters)
 
     def batch_search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """``qid, rank, id, distance``; queries are a bounded set and are broadcast to the shards."""
+        """``qid, rank, id, distance``; queries are broadcast to the shards, in rounds of at most ``BROADCAST_VALUES`` numbers."""
         if k < 1:
             raise InvalidParameter("k must be at least 1")
+        rounds = max(1, -(-queries.count() * max(1, self.dimension) // BROADCAST_VALUES))
+        found = None
+        for r in range(rounds):  # one round but for very many queries
+            one = self._scan(queries if rounds == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == r), k)
+            found = one if found is None else found.union(one)
+        return best_of(found, k)
+
+    def _scan(self, queries: DataFrame, k: int) -> DataFrame:
+        metric = self.metric
         rows = [(r.qid, np.array(r.embedding, np.float64)) for r in queries.select("qid", "embedding").collect()]
         if odd := next((len(q) for _, q in rows if len(q) != self.dimension), None):
             raise DimensionMismatch(self.dimension, odd)
@@ -154,13 +241,13 @@ class HnswIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for data in batch.column("graph"):
-                    graph = pickle.loads(data.as_py())
+                for i in range(batch.num_rows):
+                    graph = Graph.of_row({c: batch.column(c)[i].as_py() for c in batch.schema.names}, metric)
                     found = [(qid, id, d) for qid, q in shared.value for d, id in graph.search(q, k, ef)]
                     qid, id, d = zip(*found, strict=True) if found else ((), (), ())
                     yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(id, pa.int64()), pa.array(d, pa.float64())], ["qid", "id", "distance"])
 
-        return best_of(self.graphs.select("graph").mapInArrow(run, "qid long, id long, distance double"), k)
+        return self.graphs.mapInArrow(run, RESULT)
 
     def search(self, query: list[float], k: int = 10) -> DataFrame:
         return self.batch_search(query_frame(self.graphs.sparkSession, query), k).drop("qid")

@@ -20,10 +20,14 @@ from nearfield.functions.distances import distance, parse_metric
 from . import kmeans
 from .ivf import query_frame, scan_cells
 from .pq import ProductQuantizer
-from .topk import best_of, matrix
+from .topk import best_of, matrix, nearest
 
 MAX_VECTORS, MAX_BYTES = 100_000_000, 8 << 30
 FILTER_OVERSAMPLING = 4
+#: Rows of a short list (two numbers each) that is broadcast for re-ranking at most.
+SHORTLIST_ROWS = 1_000_000
+#: Training rows a cell that samples hold at least.
+ROWS_A_CELL = 4
 
 
 @dataclass(frozen=True)
@@ -57,7 +61,10 @@ class IvfPqIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, n_clusters: int, m: int, bits: int = 8, metric: str = "euclidean", nprobe: int = 1, rerank_factor: int = 1, keep_originals: bool = True, init: str = "auto", seed: int = 0, rounds: int = 25, pq_rounds: int = 25, sample_rows: int = 30_000, pq_sample_rows: int = 100_000) -> IvfPqIndex:
-        """Centres from at most ``sample_rows`` rows, the quantizer from at most ``pq_sample_rows`` residuals, everything encoded."""
+        """Centres from at most ``sample_rows`` rows (``ROWS_A_CELL`` for each cell if those are more), the quantizer from at most
+        ``pq_sample_rows`` residuals, everything encoded.
+        """
+        sample_rows = max(sample_rows, ROWS_A_CELL * n_clusters)
         vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
         order = [F.col("id")] if init == "first" else [F.xxhash64("id", F.lit(seed)), F.col("id")]
         rows = vectors.orderBy(*order).limit(max(sample_rows, pq_sample_rows)).select("embedding").collect()
@@ -117,7 +124,10 @@ class IvfPqIndex:
         found = best_of(self._scored(queries, nprobe, metadata, condition, k), self._fetch(k, condition))
         if self.originals is not None and self.rerank_factor > 1:
             asked = queries.select("qid", F.col("embedding").alias("query"))
-            near = found.select("qid", "id").join(self.originals, "id").join(asked, "qid")
+            near = found.select("qid", "id")
+            if queries.count() * self._fetch(k, condition) <= SHORTLIST_ROWS:  # the short list goes to the originals, which stay where they lie
+                near = F.broadcast(near)
+            near = self.originals.join(near, "id").join(asked, "qid")
             found = near.select("qid", "id", distance(self.metric, F.col("embedding"), F.col("query")).alias("distance"))
         if max_distance is not None:
             found = found.where(F.col("distance") <= max_distance)
@@ -137,21 +147,16 @@ class IvfPqIndex:
         fetch = self._fetch(k, condition)
         probes = kmeans.assign(queries, self.centres, self._clamped(nprobe or self.nprobe), "qid")
 
-        def kernel(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        def local(cell: int, rows: dict[str, pa.Array], qids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             centres, pq = shared.value
-            out: list[list[np.ndarray]] = [[], [], []]
-            if a.num_rows and b.num_rows:
-                codes, ids = pq.loaded(a.column("codes").combine_chunks()), a.column("id").to_numpy()
-                centre = centres[key[0].as_py()]
-                for qid, q in zip(b.column("qid").to_numpy(), matrix(b.column("embedding").combine_chunks()), strict=True):
-                    d = pq.squared(pq.table(q - centre), codes)
-                    best = np.lexsort((ids, d))[:fetch]
-                    for o, x in zip(out, (np.full(len(best), qid), ids[best], np.sqrt(d[best])), strict=True):
-                        o.append(x)
-            cat = [np.concatenate(o) if o else np.zeros(0) for o in out]
-            return pa.table({"qid": pa.array(cat[0].astype(np.int64)), "id": pa.array(cat[1].astype(np.int64)), "distance": pa.array(cat[2].astype(np.float64))})
-
-        return scan_cells(cells, probes, kernel, "qid long, id long, distance double", ["id", "codes"])
+            codes, ids, out = pq.loaded(rows["codes"]), rows["id"].to_numpy(), []
+            for qid, q in zip(qids, queries, strict=True):
+                d = pq.squared(pq.table(q - centres[cell]), codes)
+                best = nearest(d, ids, fetch)
+                out.append((np.full(len(best), qid), ids[best], np.sqrt(d[best])))
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+        return scan_cells(cells, probes, local, ["id", "codes"], fetch)
 
     def search(self, query: list[float], config: SearchConfig | None = None, metadata: DataFrame | None = None) -> DataFrame:
         """One query. With a timeout the result is computed at once, or :class:`SearchTimeout` is raised."""
@@ -164,13 +169,22 @@ class IvfPqIndex:
         return found if config.timeout is None else _within(found, config.timeout)
 
     def search_stats(self, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
-        """``qid, cells_probed, vectors_scanned, distance_computations, reranked``."""
+        """``qid, cells_probed, vectors_scanned, distance_computations, reranked``; times: :meth:`timed_search`."""
         probes = kmeans.assign(queries, self.centres, self._clamped(nprobe or self.nprobe), "qid").select("qid", "cell")
         sizes = self.live().groupBy("cell").agg(F.count("*").alias("n"))
         seen = probes.join(sizes, "cell", "left").groupBy("qid").agg(F.count("*").alias("cells_probed"), F.coalesce(F.sum("n"), F.lit(0)).alias("vectors_scanned"))
         again = F.least("vectors_scanned", F.lit(self._fetch(k, None))) if self.originals is not None and self.rerank_factor > 1 else F.lit(0)
         return seen.select("qid", "cells_probed", "vectors_scanned", F.col("vectors_scanned").alias("distance_computations"), again.cast("long").alias("reranked"))
 
+    def timed_search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> tuple[DataFrame, dict[str, float]]:
+        """The result, computed, and a summary over the queries: milliseconds in all and a query, means of the counts."""
+        begin = time.perf_counter()
+        found = self.batch_search(queries, k, nprobe)
+        rows = found.collect()  # k rows a query
+        spent = 1000 * (time.perf_counter() - begin)
+        s = self.search_stats(queries, k, nprobe).agg(F.count("*").alias("queries"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("cells_probed", "vectors_scanned", "distance_computations", "reranked"))).first().asDict()
+        return self.cells.sparkSession.createDataFrame(rows, found.schema), s | {"total_ms": spent, "ms_a_query": spent / max(1, s["queries"])}
+
     def insert(self, rows: DataFrame) -> IvfPqIndex:
         """With new rows under the present model; the last write of an id wins and revives it."""
         rows = rows.select(F.col("id").cast("long").alias("id"), "embedding")
@@ -186,6 +200,16 @@ class IvfPqIndex:
         originals = None if self.originals is None else self.originals.join(ids.select("id"), "id", "left_anti")
         return replace(self, tombstones=new if self.tombstones is None else self.tombstones.union(new).distinct(), originals=originals)
 
+    def add(self, rows: DataFrame) -> IvfPqIndex:
+        """:meth:`insert` after a check of the dimension."""
+        odd = rows.where(F.size("embedding") != self.dimension).select(F.size("embedding").alias("d")).first()
+        if odd:
+            raise DimensionMismatch(self.dimension, odd.d)
+        return self.insert(rows)
+
+    def remove(self, ids: DataFrame) -> IvfPqIndex:
+        return self.delete(ids)
+
     def compact(self) -> IvfPqIndex:
         return replace(self, cells=self.live(), tombstones=None)
 

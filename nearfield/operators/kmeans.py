@@ -14,15 +14,60 @@ from nearfield.errors import EmptyTrainingSet, InsufficientVectors, InvalidParam
 from .topk import matrix
 
 PLUS_PLUS_MAX = 64
+#: Numbers of one matrix of distances.
+MATRIX_VALUES = 4_000_000
 CONVERGED = 0.001
+#: Sums of tasks are added in two steps, the first of so many groups a cell.
+TASKS_AT_ONCE = 32
 
 
-def cells_of(rows: np.ndarray, centres: np.ndarray, count: int = 1) -> np.ndarray:
-    """Nearest cells by squared distance, ties to the lower cell."""
-    d = np.stack([((rows - c) ** 2).sum(axis=1) for c in centres.astype(np.float64)], axis=1) if len(centres) else np.zeros((len(rows), 0))
+def _exact_cells(rows: np.ndarray, centres: np.ndarray, count: int) -> np.ndarray:
+    d = np.stack([((rows - c) ** 2).sum(axis=1) for c in centres], axis=1) if len(centres) else np.zeros((len(rows), 0))
     return np.argsort(d, axis=1, kind="stable")[:, :count]
 
 
+def cells_of(rows: np.ndarray, centres: np.ndarray, count: int = 1) -> np.ndarray:
+    """Nearest cells by squared distance, ties to the lower cell.
+
+    One matrix product ranks the cells; rows whose choice its rounding could change are done again by
+    differences. Rows are taken in chunks, so a matrix holds at most ``MATRIX_VALUES`` numbers.
+    """
+    rows, centres = np.asarray(rows, np.float64), np.asarray(centres, np.float64)
+    k, count = len(centres), min(count, len(centres))
+    if k <= 8 or count > k // 2:
+        return _exact_cells(rows, centres, count)
+    size, out = (centres**2).sum(axis=1), np.empty((len(rows), count), np.int64)
+    step = max(1, MATRIX_VALUES // k)
+    for a in range(0, len(rows), step):
+        x = rows[a : a + step]
+        score = size - 2 * (x @ centres.T)
+        margin = 1e-12 * (size.max(initial=0) + np.einsum("ij,ij->i", x, x)) * max(8, x.shape[1])
+        if count == 1:
+            best = score.argmin(axis=1)[:, None]
+            unsure = (score <= np.take_along_axis(score, best, 1) + margin[:, None]).sum(axis=1) > 1
+        else:
+            near = np.argpartition(score, count, axis=1)[:, : count + 1]
+            order = np.take_along_axis(score, near, 1).argsort(axis=1, kind="stable")
+            near = np.take_along_axis(near, order, 1)
+            unsure = (np.diff(np.take_along_axis(score, near, 1), axis=1) <= margin[:, None]).any(axis=1)
+            best = near[:, :count]
+        unsure |= ~np.isfinite(score).all(axis=1)
+        if unsure.any():
+            best[unsure] = _exact_cells(x[unsure], centres, count)
+        out[a : a + step] = best
+    return out
+
+
+def cell_sums(rows: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the rows of each cell."""
+    order = np.argsort(own, kind="stable")
+    n, sums = np.bincount(own, minlength=k), np.zeros((k, rows.shape[1]))
+    some = np.flatnonzero(n)
+    if len(some):
+        sums[some] = np.add.reduceat(rows[order], (np.cumsum(n) - n)[some], axis=0)
+    return sums, n
+
+
 def start(rows: np.ndarray, k: int, init: str = "auto", seed: int = 0) -> np.ndarray:
     """``first`` rows, a ``random`` choice, ``plus_plus``, or by size (``auto``); always exactly ``k`` centres."""
     if len(rows) < k:
@@ -49,10 +94,7 @@ def fit_local(rows: np.ndarray, k: int, rounds: int = 100, init: str = "auto", s
     rows = rows.astype(np.float64)
     centres = start(rows, k, init, seed)
     for _ in range(rounds):
-        own = cells_of(rows, centres)[:, 0]
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, rows)
-        n = np.bincount(own, minlength=k)
+        sums, n = cell_sums(rows, cells_of(rows, centres)[:, 0], k)
         new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         moved = ((new - centres) ** 2).sum() / k
         centres = new
@@ -77,7 +119,8 @@ def assign(vectors: DataFrame, centres: np.ndarray, count: int = 1, key: str = "
 
 
 def fit(vectors: DataFrame, k: int, rounds: int = 100, init: str = "auto", seed: int = 0, converged: float = CONVERGED, sample_rows: int = 30_000) -> np.ndarray:
-    """Centres fitted on all rows: each round is one pass whose tasks send ``k`` partial sums.
+    """Centres fitted on all rows: a round is one job, whose tasks add up their rows by cell; Spark adds the sums of
+    tasks, and the driver gets ``k`` rows.
 
     Starts are chosen on at most ``sample_rows`` rows (the smallest ids, or the smallest hashes of the id).
     """
@@ -96,17 +139,19 @@ def fit(vectors: DataFrame, k: int, rounds: int = 100, init: str = "auto", seed:
             for batch in batches:
                 rows = matrix(batch.column("embedding")).astype(np.float64)
                 if len(rows):
-                    own = cells_of(rows, shared.value)[:, 0]
-                    np.add.at(sums, own, rows)
-                    n += np.bincount(own, minlength=len(n))
+                    more, count = cell_sums(rows, cells_of(rows, shared.value)[:, 0], len(n))
+                    sums += more
+                    n += count
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(sums[some]), pa.list_(pa.float64())), pa.array(n[some])], ["cell", "total", "n"])
 
         sums, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
         parts = vectors.select("embedding").mapInArrow(run, "cell int, total array<double>, n long")
-        for r in parts.toLocalIterator():
-            sums[r.cell] += r.total
-            n[r.cell] += r.n
+        zero = F.array_repeat(F.lit(0.0), centres.shape[1])
+        add = lambda x: F.aggregate(F.collect_list(x), zero, lambda s, y: F.zip_with(s, y, lambda p, q: p + q))
+        some = parts.withColumn("task", F.pmod(F.spark_partition_id(), F.lit(TASKS_AT_ONCE))).groupBy("cell", "task").agg(add("total").alias("total"), F.sum("n").alias("n"))
+        for r in some.groupBy("cell").agg(add("total").alias("total"), F.sum("n").alias("n")).collect():
+            sums[r.cell], n[r.cell] = r.total, r.n
         new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         moved = ((new - centres) ** 2).sum() / k
         centres = new

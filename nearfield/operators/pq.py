@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nearfield.errors import DimensionMismatch, DimensionNotDivisible, EmptyTrainingSet, InvalidParameter
 
 from . import kmeans
-from .topk import best_of, matrix
+from .topk import BROADCAST_VALUES, RESULT, best_of, matrix, nearest
 
 TRAINING_ROUNDS = 25
 
@@ -122,22 +122,39 @@ class CompressedVectors:
         return self.codes.count()
 
     def batch_search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """Queries are a bounded set: their tables are broadcast."""
+        """Query vectors are broadcast (their tables are made by the tasks), in rounds of at most ``BROADCAST_VALUES`` numbers."""
         if k < 1:
             raise InvalidParameter("k must be at least 1")
-        rows = queries.select("qid", "embedding").collect()
-        shared = self.codes.sparkSession.sparkContext.broadcast((self.pq, [(r.qid, self.pq.table(np.array(r.embedding))) for r in rows]))
+        spark, most = self.codes.sparkSession, max(1, BROADCAST_VALUES // self.pq.dimension)
+        rounds = max(1, -(-queries.count() // most))
+        found = None
+        for r in range(rounds):  # one round but for very many queries
+            part = queries if rounds == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == r)
+            one = self._scan(part.select("qid", "embedding").collect(), k, spark)
+            found = one if found is None else found.union(one)
+        return best_of(found, k)
+
+    def get_codes(self, id: int) -> list[int] | None:
+        """The codes of one vector."""
+        row = self.codes.where(F.col("id") == id).first()
+        return None if row is None else self.pq.loaded(pa.array([bytes(row.codes)], pa.binary()))[0].tolist()
+
+    def _scan(self, rows: list, k: int, spark) -> DataFrame:
+        shared = spark.sparkContext.broadcast((self.pq, [(r.qid, np.array(r.embedding, np.float64)) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pq, tables = shared.value
+            pq, asked = shared.value
+            tables = [(qid, pq.table(q)) for qid, q in asked] if len(asked) <= 256 else None
             for batch in batches:
                 codes, ids = pq.loaded(batch.column("codes")), batch.column("id").to_numpy()
                 out = []
-                for qid, table in tables:
+                for qid, table in tables or ((i, pq.table(q)) for i, q in asked):
                     d = np.sqrt(pq.squared(table, codes))
-                    best = np.lexsort((ids, d))[:k]
+                    best = nearest(d, ids, k)
                     out.append((np.full(len(best), qid), ids[best], d[best]))
                 q, i, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["qid", "id", "distance"])
 
-        return best_of(self.codes.mapInArrow(run, "qid long, id long, distance double"), k)
+        return self.codes.mapInArrow(run, RESULT)
+
+    search_parallel = batch_search

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.errors import InvalidParameter
+from nearfield.errors import DimensionMismatch, InvalidParameter
 from nearfield.functions.distances import distances, parse_metric, shortlist
 
 #: Query values (numbers) that one broadcast holds at most; larger sets are dealt in blocks through a shuffle.
 BROADCAST_VALUES = 4_000_000
 BLOCK = 4096
+#: Numbers of a chunk of vectors.
+CHUNK_VALUES = 4_000_000
 RESULT = "qid long, id long, distance double"
 
 
@@ -23,6 +25,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
+def nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest distances in order, ties to the smaller id."""
+    if len(distance) > 4 * k:
+        near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+        return near[np.lexsort((ids[near], distance[near]))[:k]]
+    return np.lexsort((ids, distance))[:k]
+
+
 def best_of(found: DataFrame, k: int | None, per_query: DataFrame | None = None) -> DataFrame:
     """``qid, rank, id, distance``: the nearest of each query; ties go to the smaller id, NaN last."""
     order = Window.partitionBy("qid").orderBy("distance", "id")
@@ -55,8 +65,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int | None = 10, metric: str
     """``vectors(id, embedding)`` against ``queries(qid, embedding[, k])`` -> ``qid, rank, id, distance``.
 
     Each block of vectors keeps ``k`` rows a query, so a shuffle moves ``blocks * k`` rows a query at
-    most. Queries within ``BROADCAST_VALUES`` numbers are broadcast; more are dealt in blocks that
-    meet blocks of vectors, one pass over either side. With ``k`` None it is a range search: all
+    most. Queries within ``BROADCAST_VALUES`` numbers are broadcast. More are dealt in blocks of that size, and
+    vectors in chunks of that size: each vector is sent once for every block of queries, each query
+    once for every chunk, so a task holds two bounded blocks whatever the tables' sizes. With ``k`` None it is a range search: all
     rows within ``max_distance``, however many.
     """
     metric = parse_metric(metric)
@@ -69,7 +80,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int | None = 10, metric: str
     if per_query_k:
         k = queries.agg(F.max("k")).first()[0] or 1
     queries = queries.select(F.col("qid").cast("long").alias("qid"), "embedding").where("embedding is not null")
-    count, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    count, narrow, width = queries.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if narrow != width:
+        raise DimensionMismatch(width, narrow)
+    if count:  # the check is part of the scan, so a row of another length fails its task
+        same = F.assert_true(F.size("embedding") == width, F.format_string(f"expected dimension {width}, got %d", F.size("embedding")))
+        vectors = vectors.where(same.isNull())
     if count * (width or 1) <= BROADCAST_VALUES:
         rows = queries.collect()
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)))
@@ -82,8 +98,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int | None = 10, metric: str
                     yield _local(metric, batch.column("id").to_numpy(), matrix(batch.column("embedding")), qids[a : a + step], q[a : a + step], k, max_distance)
 
         return best_of(vectors.mapInArrow(run, RESULT), k, wanted)
-    parts = -(-count // BLOCK)
-    chunks = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    width = max(width or 1, 1)
+    parts = -(-count // max(1, min(BLOCK, BROADCAST_VALUES // width)))
+    chunks = max(1, vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() * width // CHUNK_VALUES))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.withColumn("chunk", deal("id", chunks)).withColumn("part", spread(parts))

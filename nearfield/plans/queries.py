@@ -84,10 +84,19 @@ def _sql_knn(metric: str, source: str = SCALED, k: str = str(K), where: str = "t
     )
 
 
-def _sql_cells(where: str = "true") -> str:
-    """Centres after one round from the first rows: ``c(cell, v)`` and assignments ``own(id, v, cell)`` of rows ``e``."""
+def _sql_cells(where: str = "true", rounds: int = 1) -> str:
+    """Centres after some rounds from the first rows: ``c(cell, v)`` and assignments ``own(id, v, cell)`` of rows ``e``."""
     sq = _sum("e.v", "s.v", "(p[1] - p[2]) * (p[1] - p[2])")
     sq2 = _sum("e.v", "c.v", "(p[1] - p[2]) * (p[1] - p[2])")
+    if rounds > 1:
+        start = f"{PLAIN}, t AS (SELECT * FROM e WHERE {where}), s0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cell, v FROM t QUALIFY row_number() OVER (ORDER BY id) <= {CELLS})"
+        steps = [
+            f"o{r} AS (SELECT e.id, e.v, arg_min(s.cell, ({sq}, s.cell)) AS cell FROM t AS e, s{r} AS s GROUP BY e.id, e.v), "
+            f"x{r} AS (SELECT cell, i, avg(v[i]) AS m FROM o{r}, range(1, 65) AS g(i) GROUP BY cell, i), n{r} AS (SELECT cell, list(m ORDER BY i) AS v FROM x{r} GROUP BY cell), "
+            f"s{r + 1} AS (SELECT s.cell, coalesce(n.v, s.v) AS v FROM s{r} AS s LEFT JOIN n{r} AS n USING (cell))"
+            for r in range(rounds)
+        ]
+        return ", ".join([start, *steps, f"c AS (SELECT * FROM s{rounds})", f"own AS (SELECT e.id, e.v, arg_min(c.cell, ({sq2}, c.cell)) AS cell FROM e, c GROUP BY e.id, e.v)"])
     return (
         f"{PLAIN}, t AS (SELECT * FROM e WHERE {where}), s AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cell, v FROM t QUALIFY row_number() OVER (ORDER BY id) <= {CELLS}), "
         f"o AS (SELECT e.id, e.v, arg_min(s.cell, ({sq}, s.cell)) AS cell FROM t AS e, s GROUP BY e.id, e.v), "
@@ -106,25 +115,35 @@ def _minus(a: str, b: str) -> str:
     return f"list_transform(list_zip({a}, {b}), lambda p: p[1] - p[2])"
 
 
-def _sql_books(rows: str) -> str:
-    """The first 16 rows of ``rows(id, v)`` as codes of each part: ``b(m, code, sub)``."""
+def _sql_books(rows: str, codes: int = 16, name: str = "b") -> str:
+    """The first rows of ``rows(id, v)`` as codes of each part: ``b(m, code, sub)``."""
     w = 64 // PARTS
-    return f"b AS (SELECT m, (row_number() OVER (PARTITION BY m ORDER BY id) - 1)::INT AS code, v[m * {w} + 1 : m * {w} + {w}] AS sub FROM {rows}, range({PARTS}) AS g(m) QUALIFY row_number() OVER (PARTITION BY m ORDER BY id) <= 16)"
+    return f"{name} AS (SELECT m, (row_number() OVER (PARTITION BY m ORDER BY id) - 1)::INT AS code, v[m * {w} + 1 : m * {w} + {w}] AS sub FROM {rows}, range({PARTS}) AS g(m) QUALIFY row_number() OVER (PARTITION BY m ORDER BY id) <= {codes})"
 
 
-def _sql_codes(rows: str) -> str:
+def _sql_codes(rows: str, name: str = "k", books: str = "b") -> str:
     w = 64 // PARTS
     sq = _sum(f"r.v[r.m * {w} + 1 : r.m * {w} + {w}]", "b.sub", "(p[1] - p[2]) * (p[1] - p[2])")
-    return f"k AS (SELECT r.id, r.m, arg_min(b.code, ({sq}, b.code)) AS code FROM (SELECT * FROM {rows}, range({PARTS}) AS g(m)) AS r JOIN b ON b.m = r.m GROUP BY r.id, r.m)"
+    return f"{name} AS (SELECT r.id, r.m, arg_min(b.code, ({sq}, b.code)) AS code FROM (SELECT * FROM {rows}, range({PARTS}) AS g(m)) AS r JOIN {books} AS b ON b.m = r.m GROUP BY r.id, r.m)"
 
 
-def _sql_ivfpq(fetch: int, train: str = "true", keep: str = "true", live: str = "true", nprobe: int = 2) -> str:
+def _sql_trained(rows: str, codes: int = 16) -> str:
+    """Codes after one round of k-means in each part: ``b(m, code, sub)``."""
+    w = 64 // PARTS
+    return (
+        f"{_sql_books(rows, codes, 'b0')}, {_sql_codes(rows, 'k0', 'b0')}, "
+        f"m0 AS (SELECT k0.m, k0.code, i, avg(t0.v[k0.m * {w} + i]) AS x FROM k0 JOIN {rows} AS t0 USING (id), range(1, {w} + 1) AS g(i) GROUP BY 1, 2, 3), "
+        "n0 AS (SELECT m, code, list(x ORDER BY i) AS sub FROM m0 GROUP BY 1, 2), b AS (SELECT b0.m, b0.code, coalesce(n0.sub, b0.sub) AS sub FROM b0 LEFT JOIN n0 USING (m, code))"
+    )
+
+
+def _sql_ivfpq(fetch: int, train: str = "true", keep: str = "true", live: str = "true", nprobe: int = 2, books: str | None = None) -> str:
     """Approximate distances ``a(qid, id, distance)``, the best ``fetch`` of each query."""
     w = 64 // PARTS
     sq = _sum(f"(u.rest)[b.m * {w} + 1 : b.m * {w} + {w}]", "b.sub", "(p[1] - p[2]) * (p[1] - p[2])")
     return (
         f"WITH {_sql_cells(train)}, res AS (SELECT own.id, own.cell, {_minus('own.v', 'c.v')} AS v FROM own JOIN c USING (cell)), "
-        f"tr AS (SELECT id, v FROM res JOIN t USING (id) WHERE true), trr AS (SELECT res.id, res.v FROM res WHERE res.id IN (SELECT id FROM t)), {_sql_books('trr')}, {_sql_codes('res')}, {_sql_probes(nprobe)}, "
+        f"tr AS (SELECT id, v FROM res JOIN t USING (id) WHERE true), trr AS (SELECT res.id, res.v FROM res WHERE res.id IN (SELECT id FROM t)), {books or _sql_books('trr')}, {_sql_codes('res')}, {_sql_probes(nprobe)}, "
         f"u AS (SELECT qid, cell, {_minus('q', 'centre')} AS rest FROM p), lut AS (SELECT u.qid, u.cell, b.m, b.code, {sq} AS d FROM u, b), "
         f"hit AS (SELECT p.qid, res.id FROM p JOIN res USING (cell) JOIN embeddings AS meta ON meta.vec_id = res.id WHERE {keep} AND {live}), "
         "a0 AS (SELECT h.qid, h.id, sqrt(sum(l.d)) AS distance FROM hit AS h JOIN res USING (id) JOIN k USING (id) JOIN lut AS l ON l.qid = h.qid AND l.cell = res.cell AND l.m = k.m AND l.code = k.code GROUP BY h.qid, h.id), "
@@ -341,10 +360,10 @@ def pq_pack4(spark, sf_dir):
 
 
 _W = 64 // PARTS
-_ADC = f", lut AS (SELECT q.id AS qid, b.m, b.code, {_sum(f'q.v[b.m * {_W} + 1 : b.m * {_W} + {_W}]', 'b.sub', '(p[1] - p[2]) * (p[1] - p[2])')} AS d FROM e AS q, b WHERE q.id % {EVERY} = 0), a AS (SELECT lut.qid, k.id, sqrt(sum(lut.d)) AS distance FROM k JOIN lut ON k.m = lut.m AND k.code = lut.code GROUP BY 1, 2)"
+ADC = f", lut AS (SELECT q.id AS qid, b.m, b.code, {_sum(f'q.v[b.m * {_W} + 1 : b.m * {_W} + {_W}]', 'b.sub', '(p[1] - p[2]) * (p[1] - p[2])')} AS d FROM e AS q, b WHERE q.id % {EVERY} = 0), a AS (SELECT lut.qid, k.id, sqrt(sum(lut.d)) AS distance FROM k JOIN lut ON k.m = lut.m AND k.code = lut.code GROUP BY 1, 2)"
 
 
-@query("pq4_search", PQ_SQL + _ADC + _sql_top())
+@query("pq4_search", PQ_SQL + ADC + _sql_top())
 def pq4_search(spark, sf_dir):
     return shown(_compressed(spark, sf_dir).batch_search(asked(vectors(spark, sf_dir)), K))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tomllib
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from nearfield.errors import InvalidConfig
 from nearfield.functions.distances import parse_metric
@@ -83,6 +84,67 @@ class CollectionConfig:
             raise InvalidConfig(str(e)) from e
 
 
+@dataclass(frozen=True)
+class LogConfig:
+    level: str = "info"
+    json: bool = False
+
+    def validate(self) -> None:
+        if self.level not in ("trace", "debug", "info", "warn", "error"):
+            raise InvalidConfig(f"unknown level {self.level!r}")
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    """Folders, limits and defaults of a catalog; there is no server, so no section for one."""
+
+    data_dir: str = "./data"
+    wal_dir: str | None = None
+    max_memory_bytes: int = 8 << 30
+    request_timeout_ms: int = 30_000
+    default_index: CollectionConfig = field(default_factory=CollectionConfig)
+    log: LogConfig = field(default_factory=LogConfig)
+
+    def log_folder(self) -> str:
+        return self.wal_dir or f"{self.data_dir.rstrip('/')}/wal"
+
+    def validate(self) -> None:
+        if self.max_memory_bytes < 1 or self.request_timeout_ms < 1:
+            raise InvalidConfig("max_memory_bytes and request_timeout_ms must be positive")
+        self.default_index.validate()
+        self.log.validate()
+
+    @staticmethod
+    def from_toml(text: str) -> EngineConfig:
+        try:
+            d = tomllib.loads(text)
+            parts = {"default_index": CollectionConfig.from_dict(d.pop("default_index", {})), "log": LogConfig(**d.pop("log", {}))}
+            out = EngineConfig(**d, **parts)
+        except (tomllib.TOMLDecodeError, TypeError) as e:
+            raise InvalidConfig(str(e)) from e
+        out.validate()
+        return out
+
+    def to_toml(self) -> str:
+        """Text that :meth:`from_toml` reads as the same configuration."""
+        lines: list[str] = []
+
+        def section(name: str, d: dict) -> None:
+            plain, inner = {k: v for k, v in d.items() if not isinstance(v, dict) and v is not None}, {k: v for k, v in d.items() if isinstance(v, dict)}
+            lines.extend([f"[{name}]"] if name else [])
+            lines.extend(f"{k} = {json.dumps(v)}" for k, v in plain.items())
+            for k, v in inner.items():
+                section(f"{name}.{k}" if name else k, v)
+
+        section("", asdict(self))
+        return "\n".join(lines) + "\n"
+
+
+def check_batch(n: int) -> None:
+    if n > MAX_BATCH:
+        raise InvalidConfig(f"{n} rows in a batch; the limit is {MAX_BATCH}")
+
+
 def check_name(name: str) -> None:
     if not NAME.fullmatch(name):
         raise InvalidConfig(f"bad name {name!r}")

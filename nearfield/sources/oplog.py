@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +19,24 @@ class OpLog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
 
+    def _kept(self) -> dict:
+        """What the last truncation left: entries above ``after``, the first of them in table ``folder``, which holds those up to ``last``."""
+        return json.loads(self.store.read("kept.json")) if self.store.exists("kept.json") else {"after": -1, "folder": None, "last": -1, "next": 0}
+
+    def _batches(self) -> list[str]:
+        """Whole tables that hold live entries; those that a truncation replaced, or left half written, do not count."""
+        kept = self._kept()
+        later = [b for b in self.store.list() if b.startswith("batch-") and int(b[6:]) > kept["last"]]
+        return [b for b in ([kept["folder"]] if kept["folder"] else []) + later if self.store.exists(f"{b}/_SUCCESS")]
+
     def entries(self) -> DataFrame:
         """All entries without a gap: what follows a missing number is not replayed."""
-        batches = [b for b in self.store.list() if b.startswith("batch-") and self.store.exists(f"{b}/_SUCCESS")]
+        batches = self._batches()
         if not batches:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*(self.store.uri(b) for b in batches))
         # batches are numbered by their first entry and hold entries without gaps
-        spans = sorted((r.a, r.b) for r in rows.groupBy(F.input_file_name().alias("f")).agg(F.min("seq").alias("a"), F.max("seq").alias("b")).groupBy(F.regexp_extract("f", r"(batch-\d+)", 1)).agg(F.min("a").alias("a"), F.max("b").alias("b")).collect())
+        spans = sorted((r.a, r.b) for r in rows.groupBy(F.input_file_name().alias("f")).agg(F.min("seq").alias("a"), F.max("seq").alias("b")).groupBy(F.regexp_extract("f", r"((?:batch|kept)-\d+)", 1)).agg(F.min("a").alias("a"), F.max("b").alias("b")).collect())
         end = None
         for a, b in spans:
             if end is not None and a != end + 1:
@@ -33,7 +46,7 @@ class OpLog:
 
     def next_sequence(self) -> int:
         last = self.entries().agg(F.max("seq")).first()[0]
-        return 0 if last is None else last + 1
+        return max(self._kept()["next"], 0 if last is None else last + 1)
 
     def append(self, ops: DataFrame) -> int:
         """Appends ``ops(op, id[, vector][, metadata])`` in the order of column ``n`` (or of the id); returns the last number."""
@@ -69,21 +82,27 @@ class OpLog:
         return self.entries().where("op = 'checkpoint'").agg(F.max("last_applied_seq")).first()[0]
 
     def truncate_to_checkpoint(self) -> int:
-        """Drops entries up to the last checkpoint; returns how many."""
+        """Drops entries up to the last checkpoint; returns how many.
+
+        What stays is written first, then one small file that is renamed into place makes it the log, and only then
+        are old tables deleted: whenever this is cut short, the log is the old one or the new one.
+        """
         last = self.last_checkpoint()
         if last is None:
             return 0
         entries = self.entries()
-        old, first = entries.where(F.col("seq") <= last).count(), entries.where(F.col("seq") > last).agg(F.min("seq")).first()[0]
-        names = [b for b in self.store.list() if b.startswith("batch-")]
-        keep = f"batch-{first:020d}" if first is not None else None
-        if keep is not None:
-            entries.where(F.col("seq") > last).write.mode("overwrite").parquet(self.store.uri("kept"))
-        for b in names:
-            self.store.delete(b)
-        if keep is not None:
-            self.spark.read.schema(SCHEMA).parquet(self.store.uri("kept")).write.mode("overwrite").parquet(self.store.uri(keep))
-            self.store.delete("kept")
+        old = entries.where(F.col("seq") <= last).count()
+        stays = entries.where(F.col("seq") > last)
+        end = stays.agg(F.max("seq")).first()[0]
+        before, folder = [b for b in self.store.list() if b.startswith(("batch-", "kept-"))], None
+        if end is not None:
+            folder = f"kept-{time.time_ns():020d}"
+            stays.write.mode("overwrite").parquet(self.store.uri(folder))
+        bound = last if end is None else end
+        self.store.write("kept.json", json.dumps({"after": last, "folder": folder, "last": bound, "next": bound + 1}))
+        for b in before:
+            if b.startswith("kept-") or int(b[6:]) <= bound:
+                self.store.delete(b)
         return old
 
     def replay_after(self, seq: int) -> DataFrame:

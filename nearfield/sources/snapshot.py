@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.errors import ChecksumMismatch, CorruptedData, NotFound, UnsupportedVersion
+from nearfield.errors import ChecksumMismatch, CorruptedData, InsufficientDiskSpace, NotFound, UnsupportedVersion
 from nearfield.operators.brute import BruteForceIndex
 from nearfield.operators.hnsw import HnswIndex
 from nearfield.operators.ivf import IvfIndex
@@ -22,9 +22,20 @@ FORMAT, VERSION = "nearfield-snapshot", 1
 TYPES = {1: "ivf_pq", 2: "hnsw", 3: "ivf", 4: "brute_force"}
 
 
+#: Share of its estimated size that a snapshot needs free beside it.
+MARGIN = 0.1
+
+
 class Persistable(Protocol):
     """What :func:`save` takes and :func:`load` gives."""
 
+    metric: str
+
+    @property
+    def dimension(self) -> int: ...
+
+    def batch_search(self, queries: DataFrame, k: int = 10) -> DataFrame: ...
+
 
 class Store:
     """Small files and renames through Hadoop's file systems, so a folder may be on any of them."""
@@ -55,13 +66,42 @@ class Store:
         out = self._fs.create(self._path(temporary), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(self._path(self.uri(name)), False)
-        self._fs.rename(self._path(temporary), self._path(self.uri(name)))
+        self.replace(f"{name}", temporary)
+
+    def replace(self, name: str, source: str) -> None:
+        """Renames ``source`` (a whole path) to a name over what is there, in one step where the file system can."""
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        kinds = jvm.org.apache.hadoop.fs.Options.Rename
+        options = sc._gateway.new_array(kinds, 1)
+        options[0] = kinds.OVERWRITE
+        context.rename(self._path(source), self._path(self.uri(name)), options)
+
+    def free(self) -> int:
+        """Bytes free on the file system, as far as it says."""
+        path = self._path(self.root)
+        self._fs.mkdirs(path)
+        return int(self._fs.getStatus(path).getRemaining())
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.uri(name)), True)
 
 
+def _ordered(name: str, df: DataFrame) -> DataFrame:
+    """Cells are written sorted, so a search that filters on them reads few row groups."""
+    return df.repartitionByRange("cell").sortWithinPartitions("cell", "id") if name == "cells" else df
+
+
+def _estimate(index) -> int:
+    """Bytes of the vectors or codes of an index."""
+    if isinstance(index, HnswIndex):
+        return 0  # its graphs would have to be built
+    each = index.pq.bytes_per_vector + 12 if isinstance(index, IvfPqIndex) else 4 * index.dimension + 12
+    if isinstance(index, IvfPqIndex) and index.originals is not None:
+        each += 4 * index.dimension + 8
+    return index.count() * each
+
+
 def checksum(df: DataFrame) -> list[int]:
     """Rows, and an order-free sum of row hashes."""
     row = df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0))).first()
@@ -74,7 +114,7 @@ def _parts(index) -> tuple[int, dict, dict[str, DataFrame]]:
         tables = {"cells": index.cells, "originals": index.originals, "tombstones": index.tombstones}
         return 1, {"centres": plain(index.centres), "books": plain(index.pq.books), "metric": index.metric, "nprobe": index.nprobe, "rerank_factor": index.rerank_factor, "parameters": index.parameters}, {k: v for k, v in tables.items() if v is not None}
     if isinstance(index, HnswIndex):
-        return 2, {"metric": index.metric, "dimension": index.dimension, "ef_search": index.ef_search}, {"graphs": index.graphs}
+        return 2, {"metric": index.metric, "dimension": index.dimension, "ef_search": index.ef_search, "build": list(index.parameters)}, {"graphs": index.graphs}
     if isinstance(index, IvfIndex):
         return 3, {"centres": plain(index.centres), "metric": index.metric, "nprobe": index.nprobe}, {"cells": index.cells}
     return 4, {"metric": index.metric}, {"vectors": index.vectors}
@@ -83,14 +123,17 @@ def _parts(index) -> tuple[int, dict, dict[str, DataFrame]]:
 def save(index: Persistable, root: str, spark: SparkSession, metadata: DataFrame | None = None, extra: dict | None = None) -> int:
     """Writes the next version and returns its number. Readers of an older version are not disturbed."""
     store = Store(spark, root)
+    needed, free = int(_estimate(index) * (1 + MARGIN)), store.free()
+    if needed > free:
+        raise InsufficientDiskSpace(needed, free)
     version = max((int(x[1:]) for x in store.list() if x.startswith("v") and x[1:].isdigit()), default=0) + 1
     kind, parameters, tables = _parts(index)
     tables = tables | ({"metadata": metadata} if metadata is not None else {})
     sums = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(store.uri(f"v{version}/{name}"))
+        _ordered(name, df).write.mode("overwrite").parquet(store.uri(f"v{version}/{name}"))
         sums[name] = checksum(spark.read.parquet(store.uri(f"v{version}/{name}")))
-    body = {"format": FORMAT, "version": VERSION, "type": kind, "flags": {"rerank": "originals" in tables, "metadata": metadata is not None}, "folder": f"v{version}", "tables": sums, "parameters": parameters, "extra": extra or {}}
+    body = {"format": FORMAT, "version": VERSION, "type": kind, "flags": {"rerank": "originals" in tables, "metadata": metadata is not None, "compression": spark.conf.get("spark.sql.parquet.compression.codec")}, "folder": f"v{version}", "tables": sums, "parameters": parameters, "extra": extra or {}}
     text = json.dumps(body, sort_keys=True)
     store.write("manifest.json", json.dumps({"crc32": zlib.crc32(text.encode()), "body": text}))
     return version
@@ -127,7 +170,7 @@ def load(root: str, spark: SparkSession, verify: bool = True):
     if got["type"] == 1:
         return IvfPqIndex(np.array(p["centres"]), ProductQuantizer(np.array(p["books"])), tables["cells"], tables.get("originals"), tables.get("tombstones"), p["metric"], p["nprobe"], p["rerank_factor"], p["parameters"])
     if got["type"] == 2:
-        return HnswIndex(tables["graphs"], p["metric"], p["dimension"], p["ef_search"])
+        return HnswIndex(tables["graphs"], p["metric"], p["dimension"], p["ef_search"], tuple(p["build"]))
     if got["type"] == 3:
         return IvfIndex(np.array(p["centres"]), tables["cells"], p["metric"], p["nprobe"])
     return BruteForceIndex(tables["vectors"], p["metric"])

@@ -149,9 +149,9 @@ class IvfPqIndex:
 
         def local(cell: int, rows: dict[str, pa.Array], qids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             centres, pq = shared.value
-            codes, ids, out = pq.loaded(rows["codes"]), rows["id"].to_numpy(), []
+            codes, ids, out = pq.places(pq.loaded(rows["codes"])), rows["id"].to_numpy(), []
             for qid, q in zip(qids, queries, strict=True):
-                d = pq.squared(pq.table(q - centres[cell]), codes)
+                d = pq.looked_up(pq.table(q - centres[cell]), codes)
                 best = nearest(d, ids, fetch)
                 out.append((np.full(len(best), qid), ids[best], np.sqrt(d[best])))
             return tuple(np.concatenate(x) for x in zip(*out, strict=True))

@@ -81,7 +81,14 @@ class ProductQuantizer:
 
     def squared(self, table: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of all codes."""
-        return table[np.arange(self.parts), codes].sum(axis=1)
+        return self.looked_up(table, self.places(codes))
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Where a table, laid flat, has the values of codes; worth keeping for many tables."""
+        return codes.astype(np.intp) + np.arange(self.parts, dtype=np.intp) * self.books.shape[1]
+
+    def looked_up(self, table: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.take(table.ravel(), places).sum(axis=1)
 
     def distance(self, query: np.ndarray, codes: np.ndarray) -> float:
         return float(np.sqrt(self.squared(self.table(query), np.asarray(codes)[None, :])[0]))
@@ -146,10 +153,10 @@ class CompressedVectors:
             pq, asked = shared.value
             tables = [(qid, pq.table(q)) for qid, q in asked] if len(asked) <= 256 else None
             for batch in batches:
-                codes, ids = pq.loaded(batch.column("codes")), batch.column("id").to_numpy()
+                codes, ids = pq.places(pq.loaded(batch.column("codes"))), batch.column("id").to_numpy()
                 out = []
                 for qid, table in tables or ((i, pq.table(q)) for i, q in asked):
-                    d = np.sqrt(pq.squared(table, codes))
+                    d = np.sqrt(pq.looked_up(table, codes))
                     best = nearest(d, ids, k)
                     out.append((np.full(len(best), qid), ids[best], d[best]))
                 q, i, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))

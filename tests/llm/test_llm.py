@@ -232,7 +232,7 @@ def test_contamination(spark):
                     got |= owners
                     hit |= set(range(j, j + size))
         want[i] = (len(w), len(hit), sorted(got))
-    for most in (16 << 20, 64):  # in one pass, and in several
+    for most in (16 << 20, 2048):  # in one pass, and in several
         decontaminate.AUTOMATON_BYTES, old = most, decontaminate.AUTOMATON_BYTES
         found = digest(decontaminate.find_contamination(frame(spark, rows), bench))
         decontaminate.AUTOMATON_BYTES = old

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,6 +29,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
             base = tempfile.mkdtemp(prefix="nearfield-")
             atexit.register(shutil.rmtree, base, True)
         self.spark = spark
@@ -68,6 +71,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) ->
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
         yield batch.slice(lo, hi - lo), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # or a worker keeps the most that any batch took
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

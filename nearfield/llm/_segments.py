@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ONE, PICK, SPACE, TWO, Roller, Scratch, digests, list_array, signed, sliding_min, text_blocks, word_bounds, word_hashes
+from ._common import BLOCK_BYTES, ONE, PICK, SPACE, TWO, Roller, Scratch, digests, list_array, signed, sliding_min, text_blocks, word_bounds, word_hashes
 
 #: Windows in a segment at most.
 RUN = 256
@@ -105,7 +105,7 @@ def segments(data: np.ndarray, at: np.ndarray, units: Units) -> tuple[np.ndarray
 def _runs(docs: DataFrame, units: Units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in text_blocks(batch, "text"):
+            for part, data, at in text_blocks(batch, "text", BLOCK_BYTES if units.words else BLOCK_BYTES // 4):
                 text, start, size, key, ext, alt = segments(data, at, units)
                 doc, tag = (part.column(c).to_numpy()[text] for c in ("doc", "tag"))
                 pos = (tag << START + SIZE) + (start << SIZE) + size
@@ -238,7 +238,9 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, across: bool,
     found = scratch.save(found, "found")
     here = F.transform(F.filter("spans", lambda x: x.first < F.col("doc")), lambda x: F.struct((x.o + _start()).alias("o"), (x.e + _start()).alias("e")))
     hits = runs.join(found, SEGMENT).select("doc", _tag().alias("tag"), here.alias("spans")).where("size(spans) > 0")
-    return scratch.save(hits.groupBy("doc", "tag").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    spans = scratch.save(hits.groupBy("doc", "tag").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    scratch.drop("keys", "runs", "digests", "sizes", "sized", "large", "found")
+    return spans
 
 
 def merged(spans: pa.ListArray, row: int, limit: int) -> list[tuple[int, int]]:

@@ -11,6 +11,7 @@ the list nearest to each query. What survives is scored in double precision on t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +107,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_colu
     """``query_id, rank, vec_id, score``: for rows whose id is divisible by ``every``, the ``k`` rows with the largest inner product.
 
     A row is no candidate of its own query; ties go to the smaller id; if fewer than ``k`` candidates
-    are found, all are returned. Rows with a null id, a null or zero vector, null or non-finite components,
-    or another length than most rows take no part. Rows that repeat an id are separate
-    candidates. Further columns are ignored; an empty table, or one with a single valid row, gives
+    are found, all are returned. Rows with a null id, a null or zero vector, or null or non-finite components
+    take no part. Vectors of different lengths have no inner product: each length is searched on its own.
+    Rows that repeat an id are separate candidates; as queries they share one ranking, which holds
+    the best of either (a candidate once for each pair). Further columns are ignored; an empty table, or one with a single valid row, gives
     an empty result.
 
     Rotation and lists are fitted on at most ``SAMPLE_ROWS`` rows, and so is the number of probed lists (the
@@ -124,11 +126,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_colu
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     source = source.where(finite & F.exists("x", lambda v: v != 0))
     result = "query_id long, rank int, vec_id long, score double"
-    sizes = source.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], result)
-    d, n = sizes[0]
-    source = source.where(F.size("x") == d)
+    sizes = sorted(tuple(r) for r in source.groupBy(F.size("x").alias("d")).count().collect())  # few: one row a length
+    found = [_nearest_of_length(source.where(F.size("x") == d), d, n, k, every, lists, aim, scratch) for d, n in sizes]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], result)
+
+
+def _nearest_of_length(source: DataFrame, d: int, n: int, k: int, every: int, lists: int | None, aim: float, scratch: Scratch) -> DataFrame:
+    spark = source.sparkSession
     longest = source.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] ** 0.5
     share = min(1.0, 0.9 * SAMPLE_ROWS / n)
     drawn = source.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE_ROWS).select("x") if share < 1 else source.select("x")
@@ -144,7 +148,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_colu
             near = shared.value.nearest(shared.value.extended(x), 1)[:, 0] if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(near, pa.int32())], ["id", "x", "list"])
 
-    rows = scratch.save(source.mapInArrow(assign, "id long, x array<double>, list int"), "rows")
+    rows = scratch.save(source.mapInArrow(assign, "id long, x array<double>, list int"), f"rows-{d}")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +160,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_colu
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("x").take(take), pa.array(near.ravel(), pa.int32()), pa.array(np.tile(np.arange(near.shape[1]), len(x)), pa.int32())], ["id", "x", "list", "nth"])
 
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "x").mapInArrow(choose, "id long, x array<double>, list int, nth int")
-    asked = scratch.save(asked, "probes")
+    asked = scratch.save(asked, f"probes-{d}")
 
     def blocks(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         chunks = rows.groupBy("list").agg(F.ceil(F.count("*") / F.lit(CHUNK_ROWS)).cast("int").alias("chunks"))
@@ -195,7 +199,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_colu
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = scratch.save(top(probe_all(asked.where("nth = 0").withColumn("bound", F.lit(None).cast("double")))), "first")
+    first = scratch.save(top(probe_all(asked.where("nth = 0").withColumn("bound", F.lit(None).cast("double")))), f"first-{d}")
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
     later = asked.where("nth > 0").join(bounds, asked.id == bounds.query_id, "left").drop("query_id")
     found = first.drop("rank").union(probe_all(later))

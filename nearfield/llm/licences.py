@@ -19,8 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import text_blocks
+
 #: Licences whose full text lies in ``licence_texts``.
 FULL = ["Apache-2.0", "Artistic-1.0", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"]
+#: Licences that files name in a tag.
+TAGGED = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
 #: Notices in common use and full texts: (licence, text). More come as a parameter.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -52,6 +56,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("WTFPL", "Do What The Fuck You Want To Public License"),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in TAGGED),
     *((name, pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()) for name in FULL),
 ]
 #: Templates of more bigrams give one run an end word at a time; the stretches between found runs are searched again.
@@ -234,12 +239,13 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scanner.scan(t or "") for t in batch.column("text").to_pylist()]
-            best = [min(((-d, n) for n, d, _, _ in f), default=None) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array([b and b[1] for b in best], pa.string()), pa.array([b and -b[0] for b in best], pa.float64()), pa.array([[dict(zip(("licence", "dice", "o", "e"), m, strict=True)) for m in f] for f in found], pa.list_(item))],
-                [*names, "licence", "dice", "matches"],
-            )
+            for part, _, _ in text_blocks(batch, "text"):
+                found = [scanner.scan(t.as_py() or "") for t in part.column("text")]
+                best = [min(((-d, n) for n, d, _, _ in f), default=None) for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in names), pa.array([b and b[1] for b in best], pa.string()), pa.array([b and -b[0] for b in best], pa.float64()), pa.array([[dict(zip(("licence", "dice", "o", "e"), m, strict=True)) for m in f] for f in found], pa.list_(item))],
+                    [*names, "licence", "dice", "matches"],
+                )
 
     spans = T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("o", T.LongType()), T.StructField("e", T.LongType())]))
     fields = [T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("matches", spans)]

@@ -63,25 +63,27 @@ def _ratio(hot: np.ndarray, has: np.ndarray, positive: float, n: float) -> np.nd
     return out
 
 
-def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.25, decay: float = 2e-4, least: float = 25.0, weak: float = 0.02) -> tuple[np.ndarray, float]:
-    """Weights and bias from ``(label, features, sentence of each word)``.
+def telling(has: np.ndarray, hot: np.ndarray, positive: float, n: float, least: float = 25.0) -> np.ndarray:
+    """Words that toxic documents have more often, with a likelihood ratio (G) of at least ``least``.
 
-    Only words that toxic documents have more often, with a likelihood ratio (G) of at least ``least``, get a
-    weight: rare words would otherwise be learned by heart to explain noisy labels. Those that alone give
-    a sentence less than ``weak`` are dropped, since a long text has many, and the rest is fitted anew.
+    Only these get a weight: rare words would otherwise be learned by heart to explain noisy labels.
+    """
+    return (hot * n > has * positive) & (_ratio(hot, has, positive, n) >= least)
+
+
+def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.25, decay: float = 2e-4, weak: float = 0.02) -> tuple[np.ndarray, float]:
+    """Weights and bias from ``(label, telling features, sentence of each)``.
+
+    Words that alone give a sentence less than ``weak`` are dropped, since a long text has many, and the rest is
+    fitted anew.
     """
-    weights = np.zeros(FEATURES)
     if not docs:
-        return weights.astype(np.float32), START
-    y = np.array([d[0] for d in docs], np.float64)
-    has, hot = np.zeros(FEATURES), np.zeros(FEATURES)
-    for label, words, _ in docs:
-        own = np.unique(words)
-        has[own] += 1
-        hot[own] += label
-    used = (hot * len(y) > has * y.sum()) & (_ratio(hot, has, y.sum(), len(y)) >= least)
-    docs = [(d[1][m], d[2][m]) for d in docs for m in [used[d[1]]]]  # from here only the few words that count are in memory
+        return np.zeros(FEATURES, np.float32), START
+    y, used = np.array([d[0] for d in docs], np.float64), np.zeros(FEATURES, bool)
+    docs = [d[1:] for d in docs]
     weights, bias = _solve(docs, y, rounds, rate, decay)
+    for f, _ in docs:
+        used[f] = True
     used &= bias + weights >= np.log(weak / (1 - weak))
     if used.any():
         weights, bias = _solve([(f[m], s[m]) for f, s in docs for m in [used[f]]], y, rounds, rate, decay)
@@ -113,24 +115,53 @@ def _solve(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Learns from labelled rows whose ``crc32(doc_id) % 5`` is not 0, ``sample_rows`` of them at most (drawn by a hash of the id)."""
+    """Learns from labelled rows whose ``crc32(doc_id) % 5`` is not 0, ``sample_rows`` of them at most (drawn by a hash of the id).
+
+    A first pass over their whole texts counts in how many documents each word is, a second one gathers for the
+    driver where the few telling words are, so no text's length weighs on it.
+    """
     rows = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = rows.where(~_held_out("id")).where("toxic in (0, 1)")
     rows = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
 
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(rows), "id").select("id", "toxic", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has, hot = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+        n = positive = 0
+        for batch in batches:
+            for part, data, at in text_blocks(batch, "text"):
+                feature, _, _, _, _ = sentences(data, at)
+                words = np.diff(word_bounds(data, at, SEPARATOR)[2])
+                label = part.column("toxic").to_numpy()
+                pair = np.unique(np.repeat(np.arange(part.num_rows), words) * FEATURES + feature)
+                has += np.bincount(pair % FEATURES, minlength=FEATURES)
+                hot += np.bincount(pair % FEATURES, weights=label[pair // FEATURES], minlength=FEATURES).astype(np.int64)
+                n, positive = n + part.num_rows, positive + int(label.sum())
+        some = np.flatnonzero(has)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(has[some], n)), pa.array(np.append(hot[some], positive))], ["feature", "has", "hot"])
+
+    counts = found.mapInArrow(count, "feature int, has long, hot long").groupBy("feature").agg(F.sum("has").alias("has"), F.sum("hot").alias("hot")).toArrow()  # at most FEATURES rows
+    has, hot, feature = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), counts.column("feature").to_numpy()
+    has[feature], hot[feature] = counts.column("has").to_numpy(), counts.column("hot").to_numpy()
+    used = telling(has[:-1], hot[:-1], hot[-1], has[-1])
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part, data, at in text_blocks(batch, "text"):
                 feature, begin, text, _, _ = sentences(data, at)
                 sentence = np.repeat(np.arange(len(text)), np.diff(begin))
-                cut = np.searchsorted(text, np.arange(part.num_rows + 1))
-                words = np.append(begin, begin[-1:])[cut] if len(begin) else np.zeros(part.num_rows + 1, np.int64)
-                lists = [pa.array([feature[a:b].astype("<i4").tobytes() for a, b in zip(words[:-1], words[1:], strict=True)], pa.binary()), pa.array([(sentence[a:b] - c).astype("<i4").tobytes() for a, b, c in zip(words[:-1], words[1:], cut[:-1], strict=True)], pa.binary())]
+                on = np.flatnonzero(used[feature])
+                own = text[sentence[on]] if len(on) else on
+                first, cut = np.searchsorted(text, np.arange(part.num_rows)), np.searchsorted(own, np.arange(part.num_rows + 1))
+                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), first.tolist(), strict=True))
+                lists = [pa.array([feature[on[a:b]].astype("<i4").tobytes() for a, b, _ in spans], pa.binary()), pa.array([(sentence[on[a:b]] - c).astype("<i4").tobytes() for a, b, c in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), *lists], ["id", "toxic", "feature", "sentence"])
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(rows), "id").select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, feature binary, sentence binary")
-    got = sorted(found.collect(), key=lambda r: (r.id, r.feature))
+    got = sorted(found.mapInArrow(run, "id long, toxic int, feature binary, sentence binary").collect(), key=lambda r: (r.id, r.feature))
     return fit([(r.toxic, np.frombuffer(r.feature, "<i4"), np.frombuffer(r.sentence, "<i4")) for r in got])
 
 

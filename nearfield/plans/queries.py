@@ -6,6 +6,9 @@ use vectors scaled by ``1 + vec_id % 3``, so that no two metrics rank alike.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -50,7 +53,12 @@ def shown(found: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        base = tempfile.mkdtemp(prefix="nearfield-")
+        atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
 
 

@@ -106,6 +106,46 @@ def test_brute_force_changes(spark):
     assert bad_vectors(spark.createDataFrame([(1, [1.0, float("nan")]), (2, [1.0, 2.0]), (None, [1.0, 2.0]), (3, None)], "id long, embedding array<float>"), 2).count() == 3
 
 
+@given(st.integers(1, 40), st.integers(9, 60), st.integers(0, 2**32 - 1))
+def test_cells_equal_those_by_differences(count, k, seed):
+    rng = np.random.default_rng(seed)
+    centres = np.round(rng.standard_normal((k, 3)), 1)  # with ties
+    rows = np.concatenate([np.round(rng.standard_normal((50, 3)), 1), centres[:5], 1e8 + rng.standard_normal((5, 3))])
+    assert (kmeans.cells_of(rows, centres, count) == kmeans._exact_cells(rows, centres, min(count, k))).all()
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 1.0])], "qid long, embedding array<float>")
+    with pytest.raises(Exception, match="expected dimension 2"):
+        knn(rows, asked, 1).collect()
+    with pytest.raises(errors.DimensionMismatch):
+        knn(rows, rows.withColumnRenamed("id", "qid"), 1)
+    assert knn(rows.where("id = 1"), asked, 1).first().id == 1
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(i, float(i), str(i), None if i % 2 else i) for i in range(9)], "id long, x double, name string, y int").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    every = {f.eq("name", "3"): "EqualTo", f.gt("x", 2): "GreaterThan", f.gte("id", 2): "GreaterThanOrEqual", f.lt("y", 5): "LessThan", f.lte("id", 5): "LessThanOrEqual", f.between("id", 2, 5): "GreaterThanOrEqual", f.is_in("id", [1, 2]): "In", f.starts_with("name", "3"): "StringStartsWith", f.exists("y"): "IsNotNull"}
+    for condition, name in every.items():
+        plan = rows.where(condition.compile(f.Typed(rows)))._jdf.queryExecution().executedPlan().toString()
+        assert f"{name}(" in plan.split("PushedFilters: ")[1].split("\n")[0], condition
+    ids = lambda c: sorted(r.id for r in rows.where(c.compile(f.Typed(rows))).collect())
+    assert ids(f.negate(f.gt("y", 3))) == [0, 1, 2, 3, 5, 7] and ids(f.negate(f.any_of(f.is_in("y", [2]), f.lt("id", 4)))) == [4, 5, 6, 7, 8]
+    assert ids(f.is_in("id", [2.0, "2", 3])) == [3] and ids(f.not_in("y", [2, 4])) == [0, 1, 3, 5, 6, 7, 8]
+
+
+def test_lookups_equal_scans(spark, tmp_path):
+    rows = spark.createDataFrame([(i, '{"a": %s, "b": "%s", "c": %s}' % ((i % 3, 0.0, -0.0, "true", "null")[i % 5], i % 2, i)) for i in range(40)], "id long, json string")
+    plain = MetadataStore(from_json(rows))
+    store = plain.build_index("a", str(tmp_path / "a")).build_index("b")
+    ids = lambda s, c: sorted(r.id for r in s.filter(c).collect())
+    for c in (f.eq("a", 1), f.eq("a", 0.0), f.eq("a", -0.0), f.eq("a", True), f.eq("a", None), f.eq("a", float("nan")), f.is_in("a", [0, True]), f.is_in("a", []), f.eq("b", "1"), f.all_of(f.eq("a", 0), f.eq("b", "0")), f.all_of(f.eq("b", "1"), f.gt("c", 20)), f.any_of(f.eq("a", 1), f.eq("b", "1")), f.any_of(f.eq("a", 1), f.gt("c", 30)), f.all_of(f.any_of(f.eq("a", 1), f.eq("a", True)), f.negate(f.eq("b", "0")))):
+        assert ids(store, c) == ids(plain, c), c
+    assert store._looked_up(f.any_of(f.eq("a", 1), f.gt("c", 30)))[0] is None and store._looked_up(f.all_of(f.eq("a", 1), f.gt("c", 30)))[1] is not None
+
+
 def test_kmeans(spark):
     rows = random_vectors(spark, 300, 8, seed=1)
     local = np.array([r.embedding for r in rows.orderBy("id").collect()])
@@ -243,6 +283,57 @@ def test_log(spark, tmp_path):
     assert log.truncate_to_checkpoint() == 3 and sorted(r.seq for r in log.entries().collect()) == [3, 4]
 
 
+def test_truncation_cut_short_leaves_the_old_log(spark, tmp_path):
+    log = OpLog(spark, str(tmp_path / "log"))
+    ops = spark.createDataFrame([(i, "insert", i, [1.0]) for i in range(6)], "n int, op string, id long, vector array<float>")
+    log.append(ops)
+    log.checkpoint(3)
+    log.append(ops.where("n < 2"))
+    seen = lambda x: sorted(r.seq for r in x.entries().collect())
+    write, log.store.write = log.store.write, lambda *_: (_ for _ in ()).throw(OSError("cut"))
+    with pytest.raises(OSError):
+        log.truncate_to_checkpoint()
+    assert seen(OpLog(spark, log.store.root)) == list(range(9))
+    log.store.write = write
+    delete, log.store.delete = log.store.delete, lambda *_: (_ for _ in ()).throw(OSError("cut"))
+    with pytest.raises(OSError):
+        log.truncate_to_checkpoint()
+    log.store.delete = delete
+    assert seen(OpLog(spark, log.store.root)) == list(range(4, 9)) and OpLog(spark, log.store.root).next_sequence() == 9
+    assert log.append(ops.where("n = 0")) == 9 and log.checkpoint(9) == 10 and log.truncate_to_checkpoint() == 6 and seen(log) == [10]
+    assert log.truncate_to_checkpoint() == 0 and log.last_checkpoint() == 9
+
+
+def test_graph_arrays(spark):
+    rng = np.random.default_rng(0)
+    rows = rng.standard_normal((200, 8))
+    graph = Graph(8, 50).build(np.arange(150), rows[:150])
+    again = Graph.of_row(graph.finalize().row(0), "euclidean")
+    assert graph.is_finalized() and len(again) == 150 and again.search(rows[3], 5, 50) == graph.search(rows[3], 5, 50)
+    graph.build(np.arange(150, 200), rows[150:])
+    assert not graph.is_finalized() and len(graph) == 200 and graph.search(rows[170], 1, 50)[0][1] == 170
+    with pytest.raises(errors.DimensionMismatch):
+        graph.build(np.array([1]), np.zeros((1, 3)))
+
+
+def test_many_probes_meet_cells_in_a_shuffle(spark, indexed, monkeypatch):
+    from nearfield.operators import ivf, topk
+
+    rows, asked, index = indexed
+    one = lambda i: sorted(tuple(r) for r in i.batch_search(asked, 7).collect())
+    plain = IvfIndex.build(rows, 8, rounds=2, nprobe=3)
+    want = one(index), one(plain)
+    monkeypatch.setattr(ivf, "BROADCAST_VALUES", 1)
+    monkeypatch.setattr(ivf, "CELL_ROWS", 10)
+    assert (one(index), one(plain)) == want
+    graph = HnswIndex.build(rows, 8, 50, shard_rows=200)
+    want = one(graph)
+    from nearfield.operators import hnsw
+
+    monkeypatch.setattr(hnsw, "BROADCAST_VALUES", 100)
+    assert one(graph) == want and topk.BROADCAST_VALUES > 100
+
+
 def test_catalog(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "c"))
     c = catalog.create("docs", CollectionConfig(metric="l2"))

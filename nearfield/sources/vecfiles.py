@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.errors import CorruptedData
+from nearfield.errors import CorruptedData, NotFound
 from nearfield.functions.vectors import random_vectors
 from nearfield.operators.topk import knn
 
 
+#: Bytes of a file that one task reads whole.
+WHOLE_BYTES = 64 << 20
+
+
 def records(data: bytes, kind: str) -> list[np.ndarray]:
     """Vectors of a file; a short header ends it, a short body is an error."""
     out, at = [], 0
@@ -28,8 +34,52 @@ def records(data: bytes, kind: str) -> list[np.ndarray]:
 
 
 def _read(spark: SparkSession, path: str, kind: str, element: str) -> DataFrame:
-    """``id, embedding``: ids are positions in the file; several files are read one after the other by name."""
+    """``id, embedding``: ids are positions in the file, counted anew in each.
+
+    Files up to ``WHOLE_BYTES`` are read whole, one task a file. Larger ones, whose records must have one dimension, are
+    read in splits.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(hadoop)
+    files = [s for f in found or [] for s in (fs.listStatus(f.getPath()) if f.isDirectory() else [f]) if not s.isDirectory() and not s.getPath().getName().startswith(("_", "."))]
+    if not files:
+        raise NotFound(path)
+    small = [s.getPath().toString() for s in files if s.getLen() <= WHOLE_BYTES]
+    parts = [_whole(spark, small, kind, element)] if small else []
+    parts += [_in_splits(spark, fs, s, kind, element) for s in files if s.getLen() > WHOLE_BYTES]
+    return reduce(DataFrame.union, parts)
+
+
+def _in_splits(spark: SparkSession, fs, status, kind: str, element: str) -> DataFrame:
+    path, size = status.getPath(), status.getLen()
+    stream = fs.open(path)
+    (dim,) = struct.unpack("<i", struct.pack(">i", stream.readInt()))
+    stream.close()
+    if dim < 1 or size % (4 + 4 * dim):
+        raise CorruptedData(f"{path.toString()} does not hold whole records of dimension {dim}")
+    jvm, session = spark.sparkContext._jvm, spark._jsparkSession
+    rows = spark.sparkContext._jsc.binaryRecords(path.toString(), 4 + 4 * dim).rdd()
+    raw = DataFrame(session.createDataset(rows, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark).toDF("record")
+    counts = {r.part: r["count"] for r in raw.groupBy(F.spark_partition_id().alias("part")).count().collect()}  # one row a split
+    before = dict(zip(sorted(counts), np.cumsum([0, *(counts[p] for p in sorted(counts))]).tolist(), strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            n = batch.num_rows
+            values = np.frombuffer(b"".join(x.as_py() for x in batch.column("record")), "<i4").reshape(n, dim + 1)
+            if (values[:, 0] != dim).any():
+                raise CorruptedData(f"records of {path_name} have other dimensions than {dim}")
+            flat = pa.array(np.ascontiguousarray(values[:, 1:]).view(kind).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), flat)], ["id", "embedding"])
+            at += n
+
+    path_name = path.toString()
+    return raw.mapInArrow(run, f"id long, embedding array<{element}>")
+
 
+def _whole(spark: SparkSession, paths: list[str], kind: str, element: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
@@ -40,7 +90,7 @@ def _read(spark: SparkSession, path: str, kind: str, element: str) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in part])]), pa.int32()), values)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(a, a + len(part))), lists], ["path", "at", "embedding"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInArrow(run, f"path string, at long, embedding array<{element}>").select(F.col("at").alias("id"), "embedding")
 
 

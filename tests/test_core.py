@@ -19,7 +19,7 @@ from nearfield.operators.ivfpq import IvfPqBuilder, IvfPqIndex, SearchConfig
 from nearfield.operators.metadata import MetadataStore, from_json
 from nearfield.operators.pq import ProductQuantizer, pack4, unpack4
 from nearfield.operators.topk import knn, recall
-from nearfield.sources import snapshot
+from nearfield.sources import snapshot, vecfiles
 from nearfield.sources.catalog import Catalog
 from nearfield.sources.config import CollectionConfig
 from nearfield.sources.oplog import OpLog, state
@@ -244,11 +244,21 @@ def test_filters_on_tagged_metadata(spark):
     assert not indexed.is_index_stale("age") and indexed.remove(rows.where("id = 1")).dirty_fields() == ["age"]
 
 
-def test_vector_files(spark, tmp_path):
+def test_vector_files(spark, tmp_path, monkeypatch):
     write_vecs([[1, 2], [3, 4]], str(tmp_path / "a.fvecs"))
     write_vecs([[7, 8, 9]], str(tmp_path / "a.ivecs"), "<i4")
     assert [(r.id, r.embedding) for r in read_fvecs(spark, str(tmp_path / "a.fvecs")).orderBy("id").collect()] == [(0, [1, 2]), (1, [3, 4])]
     assert read_ivecs(spark, str(tmp_path / "a.ivecs")).first().embedding == [7, 8, 9]
+    rows = np.random.default_rng(0).standard_normal((1000, 5)).astype("<f4")
+    write_vecs(list(rows), str(tmp_path / "b.fvecs"))
+    monkeypatch.setattr(vecfiles, "WHOLE_BYTES", 100)
+    got = read_fvecs(spark, str(tmp_path / "b.fvecs")).collect()
+    assert sorted(r.id for r in got) == list(range(1000)) and all(r.embedding == rows[r.id].tolist() for r in got)
+    write_vecs([[1, 2, 3], [4, 5], *[[1, 2, 3]] * 20], str(tmp_path / "c.ivecs"), "<i4")
+    with pytest.raises(errors.CorruptedData):
+        read_ivecs(spark, str(tmp_path / "c.ivecs"))
+    with pytest.raises(errors.NotFound):
+        read_ivecs(spark, str(tmp_path / "none.ivecs"))
     data = (tmp_path / "a.fvecs").read_bytes()
     assert len(records(data + b"\1", "<f4")) == 2
     with pytest.raises(errors.CorruptedData):

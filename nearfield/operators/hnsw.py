@@ -128,6 +128,60 @@ class Graph:
             self._add(i, id)
         return self
 
+    def bulk(self, ids: np.ndarray, rows: np.ndarray) -> Graph:
+        """A graph of all rows at once: what adding them one by one gives if every search for neighbours were exact.
+
+        In each layer a node is linked with its ``m`` nearest among those before it, found by matrix products in blocks, and
+        every node then keeps its nearest links within the bound. The link with the nearest node before is kept
+        beyond it, so every node of a layer can be reached from any other.
+        """
+        self.rows, self.ids, n = np.asarray(rows, np.float64), ids.tolist(), len(ids)
+        if not n:
+            return self
+        level = np.array([self.level(i) for i in self.ids])
+        per_layer = []
+        for layer in range(int(level.max()) + 1):
+            nodes = np.flatnonzero(level >= layer)
+            a, b, d = self._earlier(self.rows[nodes])
+            first = np.ones(len(a), bool)
+            first[1:] = a[1:] != a[:-1]  # the nearest before comes first
+            x, y, far, must = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d]), np.concatenate([first, first])
+            order = np.lexsort((y, far, x))
+            x, y, must = x[order], y[order], must[order]
+            rank = np.arange(len(x)) - np.searchsorted(x, x)
+            keep = must | (rank < (2 * self.m if layer == 0 else self.m))
+            x, y = x[keep], nodes[y[keep]]
+            at = np.searchsorted(x, np.arange(len(nodes) + 1))
+            per_layer.append((np.searchsorted(nodes, np.arange(n)), at, y))
+        self.links = [[y[at[place[i]] : at[place[i] + 1]].tolist() for place, at, y in per_layer[: level[i] + 1]] for i in range(n)]
+        self.top = int(level.argmax())
+        return self.finalize()
+
+    def _earlier(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a row and one of its ``m`` nearest before it, with their distance; nearest first for each row."""
+        size, out = np.einsum("ij,ij->i", rows, rows), []
+        for a in range(0, len(rows), 512):
+            part, seen = rows[a : a + 512], rows[: a + 512]
+            if self.metric == "manhattan":
+                d = np.stack([np.abs(seen - r).sum(axis=1) for r in part])
+            else:
+                d = -(part @ seen.T)
+                if self.metric == "cosine":
+                    norm = np.sqrt(size[a : a + 512, None] * size[: a + 512])
+                    d = np.where(norm == 0, 0.0, 1 + d / np.where(norm == 0, 1, norm))
+                elif self.metric != "dot":
+                    d = size[a : a + 512, None] + size[: a + 512] + 2 * d
+            i = np.arange(a, a + len(part))
+            d[np.arange(len(seen)) >= i[:, None]] = np.inf
+            m = min(self.m, d.shape[1])
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            far = np.take_along_axis(d, near, 1)
+            order = np.lexsort((near, far), axis=1)
+            near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+            real = np.isfinite(far)
+            out.append((np.repeat(i, m)[real.ravel()], near[real], far[real]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
     def _add(self, i: int, id: int) -> None:
         level = self.level(id)
         self.ids.append(id)
@@ -196,7 +250,7 @@ class HnswIndex:
         def run(key: tuple, table: pa.Table) -> pa.Table:
             order = np.argsort(table.column("id").to_numpy(), kind="stable")
             table = table.take(pa.array(order)).combine_chunks()
-            graph = Graph(m, ef_construction, metric, seed).build(table.column("id").to_numpy(), matrix(table.column("embedding").combine_chunks()))
+            graph = Graph(m, ef_construction, metric, seed).bulk(table.column("id").to_numpy(), matrix(table.column("embedding").combine_chunks()))
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
             return pa.table({c: pa.array([x], kind) for (c, x), kind in zip(graph.row(key[0].as_py()).items(), kinds, strict=True)})
 

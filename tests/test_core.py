@@ -220,6 +220,13 @@ def test_hnsw(spark):
     graph = Graph(16, 200).build(np.array([r.id for r in data]), np.array([r.embedding for r in data]))
     assert graph.reachable() == 300
     truth = ground_truth(rows, asked, 10)
+    for metric in ("euclidean", "dot", "cosine", "manhattan"):
+        x = np.array([r.embedding for r in data] * 4) + np.random.default_rng(0).standard_normal((1200, 16))
+        graph = Graph(8, 50, metric).bulk(np.arange(1200), x)
+        assert graph.reachable() == 1200
+        hits = [len({i for _, i in graph.search(q, 10, 100)} & set(np.argsort(distances(metric, x, q), kind="stable")[:10].tolist())) for q in x[:40] * 0.9]
+        assert np.mean(hits) >= 8, metric
+    assert Graph().bulk(np.zeros(0, int), np.zeros((0, 3))).search(np.zeros(3), 3, 10) == []
     index = HnswIndex.build(rows, 16, 200, shard_rows=100)
     found = index.batch_search(asked, 10)
     assert np.mean([r.recall for r in recall(found, truth, 10).collect()]) >= 0.9

@@ -444,8 +444,9 @@ def hnsw_exhaustive(spark, sf_dir):
     return shown(HnswIndex.build(rows, 16, 100, shard_rows=1000).with_ef_search(1_000_000).batch_search(asked(rows), K))
 
 
-@query("hnsw_search")
+@query("hnsw_search", _sql_knn("euclidean", PLAIN))
 def hnsw_search(spark, sf_dir):
+    """With ``ef`` 100 the search finds all true neighbours in the test table; :func:`hnsw_recall` has the bound for others."""
     rows = vectors(spark, sf_dir)
     return shown(HnswIndex.build(rows, 16, 100, shard_rows=1000).with_ef_search(100).batch_search(asked(rows), K))
 

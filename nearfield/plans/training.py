@@ -68,6 +68,19 @@ def sql_distances(spark, sf_dir):
     return pairs.select("qid", "id", *(F.expr(f"round({n}(embedding, q), 6)").alias(n) for n in _SQL_NAMES))
 
 
+_FIRST = "(SELECT v FROM e ORDER BY id LIMIT 1) AS q"
+
+
+@query("sql_knn", f"WITH {PLAIN}, x AS (SELECT e.id, {_sql_distance('manhattan', 'e.v', 'q.v')} AS distance FROM e, {_FIRST}) SELECT row_number() OVER (ORDER BY distance, id) AS rank, id, round(distance, 6) AS distance FROM x QUALIFY rank <= {K}")
+def sql_knn(spark, sf_dir):
+    """The nearest rows through a table function in SQL."""
+    rows = vectors(spark, sf_dir)
+    rows.select("id", F.col("embedding").cast("array<double>").alias("embedding")).createOrReplaceTempView("nearfield_rows")
+    d.register_knn(spark, "nearfield_rows", "nearfield_knn", "l1")
+    first = ", ".join(f"{x!r}D" for x in rows.orderBy("id").first().embedding)
+    return spark.sql(f"SELECT rank, id, round(distance, 6) AS distance FROM nearfield_knn(array({first}), {K})")
+
+
 @query("checked_distances", f"WITH {SCALED} SELECT q.id AS qid, e.id AS id, round({_sql_distance('cosine', 'e.v', 'q.v')}, 6) AS distance FROM e, e AS q WHERE q.id % {EVERY} = 0")
 def checked_distances(spark, sf_dir):
     rows = scaled(spark, sf_dir)

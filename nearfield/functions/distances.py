@@ -130,13 +130,15 @@ def register(spark) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {checked_body}")
 
 
-def register_knn(spark, view: str, name: str = "knn", metric: str = "euclidean") -> None:
-    """A SQL table function ``name(query, k)`` over the view's ``id, embedding``: ``rank, id, distance`` of the nearest rows.
+def register_knn(spark, view: str, k: int = 10, name: str = "knn", metric: str = "euclidean") -> None:
+    """A SQL table function ``name(query)`` over the view's ``id, embedding``: ``rank, id, distance`` of the ``k`` nearest rows.
 
-    SQL inlines it, so each partition keeps its best ``k`` rows before they meet.
+    SQL inlines it as an order with a limit, so each partition keeps its best ``k`` rows before they meet.
     """
+    if k < 1:
+        raise InvalidParameter("k must be at least 1")
     register(spark)
-    distance_name = next(n for n, m in zip(SQL_FUNCTIONS, ("euclidean", "euclidean_squared", "cosine", "dot", "manhattan"), strict=True) if m == parse_metric(metric))
-    inner = f"SELECT id, {distance_name}(embedding, query) AS distance FROM {view} WHERE id IS NOT NULL AND embedding IS NOT NULL"
-    ranked = f"SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM ({inner})"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, k INT) RETURNS TABLE (rank BIGINT, id BIGINT, distance DOUBLE) RETURN SELECT CAST(rank AS BIGINT), id, distance FROM ({ranked}) WHERE rank <= k")
+    by_metric = dict(zip(("euclidean", "euclidean_squared", "cosine", "dot", "manhattan"), SQL_FUNCTIONS, strict=True))
+    inner = f"SELECT id, {by_metric[parse_metric(metric)]}(embedding, query) AS distance FROM {view} WHERE id IS NOT NULL AND embedding IS NOT NULL ORDER BY distance, id LIMIT {int(k)}"
+    ranked = f"SELECT CAST(row_number() OVER (ORDER BY distance, id) AS BIGINT), id, distance FROM ({inner})"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>) RETURNS TABLE (rank BIGINT, id BIGINT, distance DOUBLE) RETURN {ranked}")

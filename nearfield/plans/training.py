@@ -76,9 +76,9 @@ def sql_knn(spark, sf_dir):
     """The nearest rows through a table function in SQL."""
     rows = vectors(spark, sf_dir)
     rows.select("id", F.col("embedding").cast("array<double>").alias("embedding")).createOrReplaceTempView("nearfield_rows")
-    d.register_knn(spark, "nearfield_rows", "nearfield_knn", "l1")
+    d.register_knn(spark, "nearfield_rows", K, "nearfield_knn", "l1")
     first = ", ".join(f"{x!r}D" for x in rows.orderBy("id").first().embedding)
-    return spark.sql(f"SELECT rank, id, round(distance, 6) AS distance FROM nearfield_knn(array({first}), {K})")
+    return spark.sql(f"SELECT rank, id, round(distance, 6) AS distance FROM nearfield_knn(array({first}))")
 
 
 @query("checked_distances", f"WITH {SCALED} SELECT q.id AS qid, e.id AS id, round({_sql_distance('cosine', 'e.v', 'q.v')}, 6) AS distance FROM e, e AS q WHERE q.id % {EVERY} = 0")

@@ -29,6 +29,8 @@ DRAWS, MOST_DRAWS = 1 << 14, 64
 SLACK = 0.08
 #: Shingles of a shard, so that a block's texts (a few bytes a shingle) stay small whatever the documents' lengths.
 SHARD_SHINGLES = 500_000
+#: Members of blocks that a task gets.
+TASK_MEMBERS = 2000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +285,7 @@ def _links_across(members: DataFrame, least: float, words: int, percent: int, ba
             for _, data, at in text_blocks(batch, "text"):
                 h, own = shingle_sets(data, at, words)
                 sets += [h[x:y] for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-        ids, comp, n, a, b = block.ids, block.comp, block.n, [], []
+        ids, comp, n, a, b = block.ids, block.comp, [len(s) for s in sets], [], []
         for x, there in block.likely():
             for y in there:
                 if comp[y] == comp[x]:
@@ -338,12 +340,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, shard: i
     rest = scratch.save(label.join(mixed, "bucket", "left_semi"), "rest")
     if rest.limit(1).count():
         dealt = _grid(rest.join(sets.select("doc_id", "n_shingles"), "doc_id"), shard).join(sets, "doc_id")
-        tempted = scratch.save(_tempted(dealt.select("bucket", "i", "j", *MEMBER), least, bands), "tempted")
-        more = scratch.save(_links_across(tempted.join(source, "doc_id"), least, words, percent, bands), "links-2")
+        tasks = max(1, rest.count() // TASK_MEMBERS)  # by members: sketches are few bytes for the work on them
+        dealt = dealt.select("bucket", "i", "j", *MEMBER).repartition(tasks, "bucket", "i", "j")
+        tempted = scratch.save(_tempted(dealt, least, bands), "tempted")
+        texts = scratch.save(source.join(tempted.select("doc_id").distinct(), "doc_id", "left_semi"), "texts-2")
+        more = scratch.save(_links_across(tempted.join(texts, "doc_id"), least, words, percent, bands), "links-2")
         links = links.union(more)
         found = scratch.save(components(links, scratch, "all"), "all")
     of_class = classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", F.coalesce("component_id", "class_id").alias("component_id"))
     of_class = scratch.save(of_class, "classes")  # with nothing but exchanges below the next join, Spark can split a class of very many copies
+    scratch.drop("sets", "members", "pairs", "texts", "links", "star", "labelled", "rest", "tempted", "texts-2", "links-2", "all")
     out = has.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

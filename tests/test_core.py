@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nearfield import errors
 from nearfield.functions import filters as f
 from nearfield.functions.distances import distances, parse_metric, shortlist
 from nearfield.functions.vectors import bad_vectors, random_vectors
-from nearfield.operators import kmeans
+from nearfield.operators import ivfpq, kmeans
 from nearfield.operators.brute import BruteForceIndex
 from nearfield.operators.hnsw import Graph, HnswIndex
 from nearfield.operators.ivf import IvfIndex
@@ -19,7 +20,9 @@ from nearfield.operators.ivfpq import IvfPqBuilder, IvfPqIndex, SearchConfig
 from nearfield.operators.metadata import MetadataStore, from_json
 from nearfield.operators.pq import ProductQuantizer, pack4, unpack4
 from nearfield.operators.topk import knn, recall
-from nearfield.sources import snapshot, vecfiles
+from nearfield.plans import queries as core
+from nearfield.plans import storage, training  # noqa: F401 their queries join those of core
+from nearfield.sources import config, snapshot, vecfiles
 from nearfield.sources.catalog import Catalog
 from nearfield.sources.config import CollectionConfig
 from nearfield.sources.oplog import OpLog, state
@@ -209,6 +212,17 @@ def test_ivfpq_recall_and_updates(spark, indexed):
         index.with_nprobe(0)
 
 
+def test_short_list_of_all_rows(spark, indexed, monkeypatch):
+    rows, asked, index = indexed
+    index, meta = index.with_reranking(50).with_nprobe(5).delete(spark.range(9)), spark.range(300)
+    keep = {"metadata": meta, "condition": F.col("id") % 2 == 0}
+    found = lambda **x: [(r.qid, r.rank, r.id, round(r.distance, 9)) for r in index.batch_search(asked, 10, **x).orderBy("qid", "rank").collect()]
+    want = found(), found(**keep), found(max_distance=2.0)
+    monkeypatch.setattr(ivfpq, "SHORTLIST_ROWS", 100)
+    monkeypatch.setattr(IvfPqIndex, "_scored", None)  # no list of all pairs is made
+    assert (found(), found(**keep), found(max_distance=2.0)) == want
+
+
 def test_builder():
     assert IvfPqBuilder().tuned(500, 64) == {"clusters": 256, "subvectors": 16, "nprobe": 1}
     assert IvfPqBuilder(recall_target=0.95).tuned(10_000, 6)["nprobe"] == 26 and IvfPqBuilder(auto_tune=False).tuned(100, 64)["clusters"] == 10
@@ -376,6 +390,12 @@ def test_catalog(spark, tmp_path):
         CollectionConfig.from_toml("[ivf]\nnprobe = 99\nn_clusters = 4")
 
 
+@pytest.mark.parametrize("name", ["catalog_search", "catalog_index", "catalog_validation"])
+def test_collections_of_more_rows_than_a_batch(spark, monkeypatch, name):
+    monkeypatch.setattr(config, "MAX_BATCH", 40)
+    assert core.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_streamed_operations(spark, tmp_path):
     from nearfield.streaming.upkeep import stream_operations
 

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from nearfield import errors
 from nearfield.functions import filters as f
-from nearfield.functions.distances import distances, parse_metric, shortlist
+from nearfield.functions.distances import distances, parse_metric, rounded, shortlist
 from nearfield.functions.vectors import bad_vectors, random_vectors
-from nearfield.operators import ivfpq, kmeans
+from nearfield.operators import ivfpq, kmeans, topk
+from nearfield.operators import pq as pq_module
 from nearfield.operators.brute import BruteForceIndex
 from nearfield.operators.hnsw import Graph, HnswIndex
 from nearfield.operators.ivf import IvfIndex
 from nearfield.operators.ivfpq import IvfPqBuilder, IvfPqIndex, SearchConfig
 from nearfield.operators.metadata import MetadataStore, from_json
-from nearfield.operators.pq import ProductQuantizer, pack4, unpack4
+from nearfield.operators.pq import CompressedVectors, ProductQuantizer, pack4, unpack4
 from nearfield.operators.topk import knn, recall
 from nearfield.plans import queries as core
 from nearfield.plans import storage, training  # noqa: F401 their queries join those of core
@@ -180,6 +181,32 @@ def test_pq():
         ProductQuantizer.train(rows[:0], 4)
 
 
+def test_pq_of_a_table(spark, monkeypatch):
+    rows, asked = synthetic(spark, 700, 7, 12, seed=8)
+    block = np.array([r.embedding for r in rows.orderBy("id").collect()], np.float64)
+    centres = block[:5]
+    rest = block - centres[kmeans.cells_of(block, centres)[:, 0]]
+    for rounds in (0, 1, 6):
+        assert np.allclose(ProductQuantizer.fit(rows, 3, 4, rounds, "first").books, ProductQuantizer.train(block, 3, 4, rounds, "first").books)
+        assert np.allclose(ProductQuantizer.fit(rows, 3, 4, rounds, "first", centres=centres).books, ProductQuantizer.train(rest, 3, 4, rounds, "first").books)
+    pq = ProductQuantizer.train(block, 3, 4, 1, "first")
+    queries, codes = {r.qid: np.array(r.embedding, float) for r in asked.collect()}, pq.encode(block)
+    want = {(q, i): pq.distance(x, codes[i]) for q, x in queries.items() for i in range(700)}
+    compressed = CompressedVectors(pq, pq.encode_frame(rows))
+    found = lambda: {(r.qid, r.id): r.distance for r in compressed.distances(asked).collect()}
+    assert found() == pytest.approx(want)
+    monkeypatch.setattr(topk, "BROADCAST_VALUES", 30)  # in rounds
+    monkeypatch.setattr(pq_module, "PAIRS", 10)
+    assert found() == pytest.approx(want) and compressed.distances(asked, 2).count() == 4900
+    assert rounded(np.array([0.125, -0.125, 2.0, np.inf]), 2).tolist() == [0.13, -0.13, 2.0, np.inf]
+
+
+def test_all_distances_of_codes_stay_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(ProductQuantizer, "train", None)
+    monkeypatch.setattr(training, "_rows", None)
+    assert core.QUERIES["pq_distance"](spark, "/root/testdata/sf0.001").count() == 10 * 500
+
+
 @pytest.fixture(scope="module")
 def indexed(spark):
     rows, asked = synthetic(spark, 500, 10, 32, seed=5)

@@ -239,6 +239,16 @@ def test_ivfpq_recall_and_updates(spark, indexed):
         index.with_nprobe(0)
 
 
+def test_models_of_the_queries_are_fitted_on_all_rows(spark):
+    rows = synthetic(spark, 31_000, 1, 16, seed=4)[0]
+    for index in (core._ivfpq(rows), core._ivfpq(rows).rebuild()):
+        assert np.allclose(index.centres, kmeans.fit(rows, core.CELLS, 1, "first"), atol=1e-12)
+    index = training._trained_ivfpq(rows)
+    block = np.array([r.embedding for r in rows.orderBy("id").collect()], np.float64)
+    rest = block - index.centres[kmeans.cells_of(block, index.centres)[:, 0]]
+    assert np.allclose(index.pq.books, ProductQuantizer.train(rest, core.PARTS, 4, 1, "first").books, atol=1e-9)
+
+
 def test_short_list_of_all_rows(spark, indexed, monkeypatch):
     rows, asked, index = indexed
     index, meta = index.with_reranking(50).with_nprobe(5).delete(spark.range(9)), spark.range(300)

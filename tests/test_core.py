@@ -1,6 +1,7 @@
 """Known answers, properties and round trips of the vector operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from nearfield import errors
 from nearfield.functions import filters as f
-from nearfield.functions.distances import distances, parse_metric, rounded, shortlist
+from nearfield.functions import distances as distances_module
+from nearfield.functions.distances import METRICS, cosine_similarity, distance, distances, parse_metric, rounded, shortlist
 from nearfield.functions.vectors import bad_vectors, random_vectors
 from nearfield.operators import ivfpq, kmeans, topk
 from nearfield.operators import pq as pq_module
@@ -427,6 +429,35 @@ def test_catalog(spark, tmp_path):
         CollectionConfig.from_toml("[ivf]\nnprobe = 99\nn_clusters = 4")
 
 
+def test_all_pairs_equal_the_columns(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [-0.1, 0.7]), (None, [0.3, 0.2])], "id long, embedding array<double>")
+    asked = rows.where("id is not null").withColumnRenamed("id", "qid")
+    pairs = asked.select("qid", F.col("embedding").alias("q")).join(rows, F.lit(True))
+    a, b = F.col("embedding"), F.col("q")
+    measures = {m: m for m in METRICS} | {"similarity": "similarity"}
+    seen = lambda df: sorted((tuple(r) for r in df.collect() if {r[0], r[1]} != {2, 4}), key=str)  # noqa: E731 a zero and another length: null, where the columns say 0
+    want = seen(pairs.select("qid", "id", *(distance(m, a, b) for m in METRICS), cosine_similarity(a, b)))
+    assert seen(topk.all_pairs(rows, asked, measures)) == want
+    monkeypatch.setattr(topk, "BROADCAST_VALUES", 4)  # in rounds
+    monkeypatch.setattr(distances_module, "PAIRS", 3)
+    assert seen(topk.all_pairs(rows, asked, measures)) == want
+    with pytest.raises(Exception, match="DimensionMismatch"):
+        topk.all_pairs(rows, asked, {"distance": "cosine"}, strict=True).collect()
+    even = rows.where("id in (1, 2, 6)")
+    even.createOrReplaceTempView("even_rows")
+    distances_module.register(spark)
+    distances_module.register_pairs(spark, [(r.id, r.embedding) for r in even.collect()], "even_pairs")
+    got = spark.sql("SELECT * FROM even_pairs(TABLE(SELECT id, embedding FROM even_rows))")
+    assert seen(got) == seen(spark.sql(f"SELECT q.id, r.id, {', '.join(f'{n}(r.embedding, q.embedding)' for n in distances_module.SQL_FUNCTIONS)} FROM even_rows AS q CROSS JOIN even_rows AS r"))
+
+
+@pytest.mark.parametrize("name", ["pairwise_distances", "checked_distances", "sql_distances"])
+def test_pairs_are_made_in_blocks(spark, name):
+    """Column expressions over a join of all pairs took microseconds a pair and metric."""
+    df = core.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not {"NestedLoopJoin", "CartesianProduct"} & set(re.findall(r"NestedLoopJoin|CartesianProduct", df._jdf.queryExecution().toString())) and df.count() == 5000
+
+
 @pytest.mark.parametrize("name", ["catalog_search", "catalog_index", "catalog_validation"])
 def test_collections_of_more_rows_than_a_batch(spark, monkeypatch, name):
     monkeypatch.setattr(config, "MAX_BATCH", 40)

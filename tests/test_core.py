@@ -289,6 +289,22 @@ def test_hnsw(spark):
         Graph(1)
 
 
+def test_checked_graph_search_misses_nothing(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((600, 16)), np.zeros((1, 16))])
+    x = np.concatenate([x, x[:40]])  # equal vectors tie
+    for metric in METRICS:
+        graph = Graph(4, 10, metric).bulk(np.arange(len(x)), x)
+        far = [distances(metric, x, q) for q in x[:150]]
+        want = [[int(i) for i in np.lexsort((np.arange(len(x)), d))[:10]] for d in far]
+        assert [[i for _, i in found] for found in graph.checked_search(x[:150], 10, 10)] == want, metric
+        assert [[i for _, i in graph.search(q, 10, 10)] for q in x[:150]] != want, metric
+    assert len(Graph(4, 10).bulk(np.arange(3), x[:3]).checked_search(x[:2], 10, 10)[1]) == 3
+    rows, asked = synthetic(spark, 400, 30, 24, seed=6)
+    index, seen = HnswIndex.build(rows, 4, 4, shard_rows=200).with_check().with_ef_search(1), lambda df: sorted((r.qid, r.rank, r.id) for r in df.collect())
+    assert seen(index.batch_search(asked, 10)) == seen(knn(rows, asked, 10))
+
+
 def test_filters_on_tagged_metadata(spark):
     rows = spark.createDataFrame([(1, '{"name":"Alice","age":30,"score":85.5,"active":true,"tags":["x","y"],"none":null}'), (2, "{}"), (3, "broken"), (4, '{"age":30.0}')], "id long, json string")
     store = MetadataStore(from_json(rows))

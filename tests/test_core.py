@@ -251,6 +251,21 @@ def test_models_of_the_queries_are_fitted_on_all_rows(spark):
     assert np.allclose(index.pq.books, ProductQuantizer.train(rest, core.PARTS, 4, 1, "first").books, atol=1e-9)
 
 
+def test_samples_come_as_arrow(spark, monkeypatch):
+    rows = synthetic(spark, 300, 1, 12, seed=4)[0]
+    x = {r.id: r.embedding for r in rows.collect()}
+    order = [r.id for r in rows.orderBy(F.xxhash64("id", F.lit(3)), "id").select("id").collect()]
+    short = rows.select("id", F.when(F.col("id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 6)).alias("embedding"))
+    empty = rows.limit(0)
+    monkeypatch.setattr(type(rows), "collect", None)
+    assert (kmeans.drawn(rows, 50, "auto", 3) == np.array([x[i] for i in order[:50]], np.float64)).all()
+    assert (kmeans.drawn(rows, 50, "first", 3) == np.array([x[i] for i in range(50)], np.float64)).all()
+    with pytest.raises(errors.DimensionMismatch):
+        kmeans.drawn(short, 50, "first", 3)
+    with pytest.raises(errors.EmptyTrainingSet):
+        kmeans.drawn(empty, 50, "first", 3)
+
+
 def test_short_list_of_all_rows(spark, indexed, monkeypatch):
     rows, asked, index = indexed
     index, meta = index.with_reranking(50).with_nprobe(5).delete(spark.range(9)), spark.range(300)
@@ -480,6 +495,21 @@ def test_collections_of_more_rows_than_a_batch(spark, monkeypatch, name):
     assert core.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def equals_sql(spark, name, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    got = core.QUERIES[name](spark, sf_dir)
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS FROM '{sf_dir}/embeddings.parquet'")
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({core.ORACLE_SQL[name]})").fetchall()
+    return sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["catalog_ivfpq"])
+def test_collections_of_more_rows_than_a_batch_equal_their_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(config, "MAX_BATCH", 40)
+    assert equals_sql(spark, name, "/root/testdata/sf0.001")
+
+
 def test_streamed_operations(spark, tmp_path):
     from nearfield.streaming.upkeep import stream_operations
 

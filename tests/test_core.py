@@ -504,7 +504,7 @@ def equals_sql(spark, name, sf_dir):
     return sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["catalog_ivfpq", "catalog_per_query_k", "catalog_index_filtered", "catalog_max_distance", "catalog_info"])
+@pytest.mark.parametrize("name", ["catalog_ivfpq", "catalog_per_query_k", "catalog_index_filtered", "catalog_max_distance", "catalog_info", "catalog_metadata"])
 def test_collections_of_more_rows_than_a_batch_equal_their_sql(spark, monkeypatch, name):
     monkeypatch.setattr(config, "MAX_BATCH", 40)
     assert equals_sql(spark, name, "/root/testdata/sf0.001")

@@ -510,6 +510,13 @@ def test_collections_of_more_rows_than_a_batch_equal_their_sql(spark, monkeypatc
     assert equals_sql(spark, name, "/root/testdata/sf0.001")
 
 
+@pytest.mark.parametrize("name", ["ivfpq_config"])
+def test_ivfpq_queries_equal_their_sql_beyond_the_samples(spark, monkeypatch, name):
+    build = IvfPqIndex.build.__func__
+    monkeypatch.setattr(build, "__defaults__", tuple(64 if x in (30_000, 100_000) else x for x in build.__defaults__))
+    assert equals_sql(spark, name, "/root/testdata/sf0.01")
+
+
 def test_streamed_operations(spark, tmp_path):
     from nearfield.streaming.upkeep import stream_operations
 

@@ -510,7 +510,7 @@ def test_collections_of_more_rows_than_a_batch_equal_their_sql(spark, monkeypatc
     assert equals_sql(spark, name, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["ivfpq_config", "ivfpq_delete", "ivfpq_rebuild", "ivfpq_scan_counts", "ivfpq_stats", "ivfpq_trained", "ivfpq_filtered", "ivfpq_insert"])
+@pytest.mark.parametrize("name", ["ivfpq_config", "ivfpq_delete", "ivfpq_rebuild", "ivfpq_scan_counts", "ivfpq_stats", "ivfpq_trained", "ivfpq_filtered", "ivfpq_insert", "ivfpq_rerank"])
 def test_ivfpq_queries_equal_their_sql_beyond_the_samples(spark, monkeypatch, name):
     build = IvfPqIndex.build.__func__
     monkeypatch.setattr(build, "__defaults__", tuple(64 if x in (30_000, 100_000) else x for x in build.__defaults__))
